@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratagraph.llm import mixing, outliers
+from stratagraph.llm import mixing, outliers, tiff, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,11 +23,32 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_read(spark, sf_dir, "documents"))
 
 
+def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.store_texts(_read(spark, sf_dir, "documents")))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.stored_archives(_read(spark, sf_dir, "pages")))
+    # a revisit has no payload; its length and digest are those that its record states
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(F.sha1("payload"), F.col("payload_digest"))
+    return back.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op7_tiff_media": op7_tiff_media,
     "op9_robust_outliers": op9_robust_outliers,
+    "op10_warc_round_trip": op10_warc_round_trip,
 }
 
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op10_warc_round_trip": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS stored FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+          CASE WHEN stored IS NOT NULL AND page_id IS DISTINCT FROM stored THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN page_id IS DISTINCT FROM stored THEN stored END AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM m""",
 }
