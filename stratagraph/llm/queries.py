@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import mixing, outliers, tiff, warc
+from stratagraph.llm import langid, mixing, neardup, outliers, pieces, tiff, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,25 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_read(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_read(spark, sf_dir, "documents"))
+
+
+def op6_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def segmented(docs: DataFrame) -> DataFrame:
+    """Lengths and digests of sampled segmentations, and whether decoding gives each text back."""
+    marked = docs.select("doc_id", "text", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_md5"))
+    back = pieces.decode_ids(pieces.encode_texts(marked, carry=("text_md5",)), carry=("text_md5",))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_xxhash64"), F.length("text").cast("long").alias("n_chars"), "text_md5", (F.md5("text") == F.col("text_md5")).alias("lossless"))
+
+
+def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmented(_read(spark, sf_dir, "documents"))
+
+
 def op7_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(tiff.store_texts(_read(spark, sf_dir, "documents")))
 
@@ -37,7 +56,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_crf_language_id": op6_crf_language_id,
     "op7_tiff_media": op7_tiff_media,
+    "op8_sampled_pieces": op8_sampled_pieces,
     "op9_robust_outliers": op9_robust_outliers,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
