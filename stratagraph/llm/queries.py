@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import langid, mixing, neardup, outliers, pieces, tiff, warc
+from stratagraph.llm import langid, mixing, neardup, outliers, pieces, quality, tiff, urls, warc, wrappers
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a page is good if the document it shows is of good quality and not toxic
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good"))
+    return urls.judge(_read(spark, sf_dir, "pages"), labels, urls.page_document(F.col("path")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,6 +29,15 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_read(spark, sf_dir, "documents"))
 
 
+def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites = quality.page_sites(_read(spark, sf_dir, "pages").select("url"))
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), sites)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +70,10 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_mix_sources": op2_mix_sources,
+    "op3_wrapper_extraction": op3_wrapper_extraction,
+    "op4_site_quality": op4_site_quality,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_crf_language_id": op6_crf_language_id,
     "op7_tiff_media": op7_tiff_media,
@@ -65,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_url_filters": urls.sql(),
     "op2_mix_sources": mixing.SQL,
     "op10_warc_round_trip": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
