@@ -41,7 +41,7 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 RANK_OFFSET, ALPHA, SEED = 100.0, 0.5, 20
 #: Bytes of text that are encoded together; a longer text is done alone.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 
 def model_path(path: str | None = None) -> str:
