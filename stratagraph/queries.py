@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratagraph.operators import ingest, symbols, whole
 from stratagraph.plans import oracle
 from stratagraph.plans.catalog import CATALOG, Request, build
 from stratagraph.plans.graph import star_graph
+from stratagraph.sources.star import duckdb_ctes
+from stratagraph.streaming.incremental import event_counts
 
 CATALOG_MODULE, LOG_MODULE = "module:parts/catalog", "module:users/log"
 BRAND = "Brand_11"
@@ -51,4 +55,88 @@ def _query(intent: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {intent: _query(intent) for intent in CATALOG}
 ORACLE: dict[str, str] = {intent: oracle.sql(request(intent)) for intent in CATALOG}
 
-__all__ = ["ORACLE", "QUERIES", "REQUESTS", "request"]
+
+# Whole-graph operators, the dashboard's aggregates and streaming aggregates run as batches.
+
+
+def _whole(make) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: make(whole.export(star_graph(spark, sf_dir)))
+
+
+def _thinned(w: whole.Whole) -> whole.Whole:
+    """The other side of a comparison: without calls from exported suppliers, and without fields of one brand."""
+    return whole.Whole(w.nodes.filter(~F.col("id").startswith(f"{CATALOG_MODULE}#Brand_7.")), w.edges.filter(~((F.col("kind") == "calls") & F.col("src").endswith("7"))))
+
+
+_CENTER = "S7"
+QUERIES |= {
+    "graph_nodes": _whole(lambda w: w.nodes),
+    "graph_edges": _whole(lambda w: w.edges),
+    "graph_symbol_kinds": _whole(lambda w: whole.of_kinds(w, ["class", "field", "interface"]).edges),
+    "graph_edge_kinds": _whole(lambda w: whole.of_kinds(w, None, ["calls", "imports"]).edges),
+    "graph_center": _whole(lambda w: whole.center_subgraph(whole.of_kinds(w, None, ["calls"]), _CENTER, 2, "out").nodes.select("id", "kind")),
+    "graph_center_both": _whole(lambda w: whole.center_subgraph(whole.of_kinds(w, None, ["calls"]), _CENTER, 1, "both").edges),
+    "graph_data_path": _whole(lambda w: whole.data_path_subgraph(w, "Brand_12", "Brand_1", 4).edges),
+    "graph_top_degree": _whole(lambda w: whole.top_by_degree(w, 40).nodes.select("id", "kind")),
+    "graph_diff": _whole(lambda w: whole.diff(w, _thinned(w)).filter("change != 'common'")),
+    "graph_diff_counts": _whole(lambda w: whole.diff_counts(whole.diff(w, _thinned(w)))),
+    "dashboard_totals": lambda spark, sf_dir: whole.totals(star_graph(spark, sf_dir)),
+    "dashboard_edge_kinds": lambda spark, sf_dir: whole.edge_kinds(star_graph(spark, sf_dir)),
+    "dashboard_resolution_kinds": lambda spark, sf_dir: whole.resolution_kinds(star_graph(spark, sf_dir)),
+    "event_windows": lambda spark, sf_dir: event_counts(spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", F.col("value").cast("double").alias("value"))).select("window_start", "event_type", "n", F.round("total", 4).alias("total")),
+    "symbols_at_locations": lambda spark, sf_dir: _located(star_graph(spark, sf_dir)),
+    "enclosing_functions": lambda spark, sf_dir: _enclosed(star_graph(spark, sf_dir)),
+    "roll_up_aggregates": lambda spark, sf_dir: _rolled(star_graph(spark, sf_dir)),
+}
+
+
+def _located(g) -> DataFrame:
+    probes = g.nodes.filter("kind = 'function'").select(F.col("canonical_name").alias("probe_id"), "file_path", (F.col("line") + 3).alias("line"))
+    return symbols.at_locations(g, probes)
+
+
+def _enclosed(g) -> DataFrame:
+    sites = g.nodes.filter("kind IN ('function', 'field')").select(F.col("canonical_name").alias("site_id"), "file_path", (F.col("line") + 7).alias("line"))
+    return ingest.enclosing_function(sites, g.nodes.filter("kind = 'function'"))
+
+
+def _rolled(g) -> DataFrame:
+    return ingest.roll_up_aggregates(g.of("contains").select("src", "dst"), g.of("field_of_type").select("src", "dst"))
+
+
+_WITH = duckdb_ctes()
+_EDGES = "SELECT src, dst, edge_kind AS kind, resolution_kind FROM ne"
+_NODE_LIST = "canonical_name AS id, kind, file_path, line, end_line, line_count, exported, doc, owning_class"
+_S7 = f"(SELECT min(canonical_name) FROM nodes WHERE ends_with(canonical_name, '#{_CENTER}'))"
+_DIFF = f""", n2 AS (SELECT canonical_name AS id FROM nodes WHERE NOT starts_with(canonical_name, '{CATALOG_MODULE}#Brand_7.')),
+e1 AS (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne), e2 AS (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne WHERE NOT (edge_kind = 'calls' AND ends_with(src, '7'))),
+d AS (SELECT 'node' AS item, 'removed' AS change, canonical_name AS src, '' AS dst, '' AS kind FROM nodes WHERE canonical_name NOT IN (SELECT id FROM n2)
+  UNION ALL SELECT 'node', 'common', id, '', '' FROM n2
+  UNION ALL SELECT 'edge', 'removed', * FROM (SELECT * FROM e1 EXCEPT SELECT * FROM e2)
+  UNION ALL SELECT 'edge', 'common', * FROM e2)
+"""
+ORACLE |= {
+    "graph_nodes": _WITH + f"SELECT {_NODE_LIST} FROM nodes",
+    "graph_edges": _WITH + _EDGES,
+    "graph_symbol_kinds": _WITH + _EDGES + " WHERE src_kind IN ('class', 'field', 'interface') AND dst_kind IN ('class', 'field', 'interface')",
+    "graph_edge_kinds": _WITH + _EDGES + " WHERE edge_kind IN ('calls', 'imports')",
+    "graph_center": _WITH + f", reach AS (SELECT {_S7} AS id, 0 AS d UNION SELECT dst, d + 1 FROM reach JOIN ne ON src = id AND edge_kind = 'calls' WHERE d < 2) SELECT canonical_name AS id, kind FROM nodes WHERE canonical_name IN (SELECT id FROM reach)",
+    "graph_center_both": _WITH + f", around AS (SELECT {_S7} AS id UNION SELECT dst FROM ne WHERE edge_kind = 'calls' AND src = {_S7} UNION SELECT src FROM ne WHERE edge_kind = 'calls' AND dst = {_S7}) {_EDGES} WHERE edge_kind = 'calls' AND src IN (SELECT id FROM around) AND dst IN (SELECT id FROM around)",
+    "graph_data_path": _WITH + f""", steps AS (SELECT DISTINCT src, dst, edge_kind, resolution_kind FROM ne WHERE edge_kind IN ('field_of_type', 'aggregates')),
+walk AS (SELECT ['{CATALOG_MODULE}#Brand_12'] AS path UNION ALL SELECT list_append(path, dst) FROM walk JOIN steps ON path[-1] = src WHERE len(path) <= 4 AND NOT list_contains(path, dst)),
+hit AS (SELECT path FROM walk WHERE path[-1] = '{CATALOG_MODULE}#Brand_1'), best AS (SELECT path FROM hit WHERE len(path) = (SELECT min(len(path)) FROM hit)),
+pairs AS (SELECT DISTINCT path[i] AS a, path[i + 1] AS b FROM best, (SELECT unnest(range(1, 6)) AS i) WHERE i < len(path))
+SELECT src, dst, edge_kind AS kind, resolution_kind FROM steps JOIN pairs ON src = a AND dst = b""",
+    "graph_top_degree": _WITH + "SELECT id, kind FROM (SELECT canonical_name AS id, n.kind, (SELECT count(*) FROM ne WHERE src = canonical_name) + (SELECT count(*) FROM ne WHERE dst = canonical_name) AS d FROM nodes n ORDER BY d DESC, id LIMIT 40)",
+    "graph_diff": _WITH + _DIFF + "SELECT * FROM d WHERE change <> 'common'",
+    "graph_diff_counts": _WITH + _DIFF + "SELECT item, change, count(*)::BIGINT AS n FROM d GROUP BY ALL",
+    "dashboard_totals": _WITH + "SELECT (SELECT count(*) FROM nodes)::BIGINT AS total_nodes, (SELECT count(*) FROM edges)::BIGINT AS total_edges",
+    "dashboard_edge_kinds": _WITH + "SELECT edge_kind, count(*)::BIGINT AS n FROM edges GROUP BY ALL",
+    "dashboard_resolution_kinds": _WITH + "SELECT resolution_kind, count(*)::BIGINT AS n FROM edges WHERE edge_kind = 'calls' AND resolution_kind IS NOT NULL GROUP BY ALL",
+    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "symbols_at_locations": _WITH + """SELECT probe_id, canonical_name FROM (SELECT p.canonical_name AS probe_id, n.canonical_name, row_number() OVER (PARTITION BY p.canonical_name ORDER BY n.kind = 'module', coalesce(n.end_line, n.line) - n.line, n.line DESC, n.canonical_name) AS rn
+FROM nodes p JOIN nodes n ON n.file_path = p.file_path AND p.line + 3 BETWEEN n.line AND coalesce(n.end_line, n.line) WHERE p.kind = 'function') WHERE rn = 1""",
+    "enclosing_functions": _WITH + """SELECT s.canonical_name AS site_id, coalesce(arg_min(f.canonical_name, struct_pack(a := f.line, b := f.canonical_name)), '(file-scope)') AS function
+FROM nodes s LEFT JOIN nodes f ON f.kind = 'function' AND f.file_path = s.file_path AND s.line + 7 BETWEEN f.line AND f.line + 500 WHERE s.kind IN ('function', 'field') GROUP BY s.canonical_name""",
+    "roll_up_aggregates": _WITH + "SELECT DISTINCT c.src, f.dst, 'aggregates' AS edge_kind, 0.95::DOUBLE AS confidence FROM ne c JOIN ne f ON f.edge_kind = 'field_of_type' AND c.dst = f.src WHERE c.edge_kind = 'contains'",
+}
