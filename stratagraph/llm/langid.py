@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
-from stratagraph.llm.runtime import text_batches
+from stratagraph.llm.runtime import ship, text_batches
 
 TABLE_BITS = 17
 AFFIXES = 4
@@ -236,6 +236,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, lang_pred and score of every whole text; one pass, no shuffle."""
+    ship(docs)
     slim = docs.select(F.col(id_col), F.col(text).cast("string").alias("__t"))
     schema = f"`{id_col}` {slim.schema[0].dataType.simpleString()}, lang_pred string, score double"
     if model is None:

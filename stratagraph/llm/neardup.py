@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
 from stratagraph.llm.components import components
-from stratagraph.llm.runtime import cut, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
@@ -254,6 +254,7 @@ def _links(members: DataFrame, lists: DataFrame, idf, threshold: float) -> DataF
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_words for each row."""
+    ship(docs)
     spark = docs.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), _text_key(t).alias("key"), t.alias("text"))

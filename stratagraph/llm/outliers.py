@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagraph.llm import words as W
-from stratagraph.llm.runtime import cut, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches
 
 DIMS = 4
 #: Share of rows in the concentrated half, steps, and rows a group needs for an estimate of its own.
@@ -95,6 +95,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """`keep` columns with the base counts of every whole text; one pass, no shuffle."""
+    ship(docs)
     slim = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "__text"), *(f"{c} long" for c in COUNTS)])
 

@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.llm.runtime import ship
+
 from stratagraph.llm.words import mix, prefix_hash, slice_hash
 
 SPACE = "▁"
@@ -257,6 +259,7 @@ def _schema(df: DataFrame, n: int) -> str:
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = ALPHA, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, `carry` columns, text's length in code points and ids (array<int>) of each row; no shuffle."""
+    ship(docs)
     slim = docs.select(F.col(id_col), *carry, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
 
     own = 1 + len(carry)
@@ -274,6 +277,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, `carry` columns, ids and the text they spell."""
+    ship(encoded)
     slim = encoded.select(id_col, *carry, ids)
     own = 1 + len(carry)
 

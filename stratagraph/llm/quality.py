@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
 from stratagraph.llm.outliers import text_counts
-from stratagraph.llm.runtime import cut, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
@@ -100,6 +100,7 @@ def train(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -
 
 def _features_of(rows: DataFrame) -> DataFrame:
     """The rows (.., text) with an array column f in place of text."""
+    ship(rows)
     names = [c for c in rows.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", f array<double>"
 

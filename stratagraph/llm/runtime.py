@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-checkpoint-"))
 
 
+def ship(df: DataFrame) -> None:
+    """Lets Python workers import the package: Spark's file server hands them an archive of it, once for a context."""
+    context = df.sparkSession.sparkContext
+    if getattr(context, "_stratagraph_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="strata-package-"), f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(top.rglob("*.py")):
+            archive.write(source, str(source.relative_to(top.parent)))
+    context.addPyFile(path)
+    context._stratagraph_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows from a reliable checkpoint: the lineage ends there, and lost executors lose nothing."""
     ensure_checkpoint_dir(df.sparkSession)

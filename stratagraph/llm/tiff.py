@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.llm.runtime import ship
+
 #: Fixed values of the TIFF 6.0 format: tags, field sizes, compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
@@ -278,6 +280,7 @@ PAGE_SCHEMA = "page int, width int, height int, samples int, bits int, compressi
 
 def read_pages(media: DataFrame, id_col: str, data: str = "media") -> DataFrame:
     """One row per page of the files in a binary column: id and PAGE_SCHEMA."""
+    ship(media)
     slim = media.select(F.col(id_col), F.col(data).cast("binary").alias("__data"))
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
     kinds = {"data": pa.binary(), "error": pa.string()}
@@ -321,6 +324,7 @@ def digest(media: bytes) -> dict:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and media: each whole text, null as empty, stored as a TIFF file. UTF-8 has no byte 255, so the padding shows."""
+    ship(docs)
     slim = docs.select(F.col(id_col), F.col(text).cast("string").cast("binary").alias("__t"))
 
     def run(batches):
@@ -335,6 +339,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id and what digest() finds in each file of the column media."""
+    ship(media)
     cols = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
     slim = media.select(id_col, "media")
 

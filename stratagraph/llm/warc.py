@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import cut, small_side
+from stratagraph.llm.runtime import cut, ship, small_side
 
 MIN_BYTES, SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 1000, 64 << 10, 8 << 10, 4 << 20
 _ID = "urn:x-page:"
@@ -141,6 +141,7 @@ def response_records(page_id: int | None, serial: str, uri: str, payload: bytes,
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rows of the column `archive`, each of about archive_bytes at most. Which payloads repeat is found from digests only."""
+    ship(pages)
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -220,6 +221,7 @@ def _batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.RecordBa
 
 def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
     """A row for each record: page_id, uri, record_type, refers_to, payload_bytes, payload_digest, payload, error."""
+    ship(archives)
 
     def scan(segments: bool):
         def run(batches):

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import cut
+from stratagraph.llm.runtime import cut, ship
 
 #: Characters of wrappers that may be broadcast together; beyond it they join by host.
 BROADCAST_CHARS = 32 << 20
@@ -374,6 +374,7 @@ def _rows(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
 
 def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """host, its wrapper (JSON) and the wrapper's expression."""
+    ship(pages)
 
     def partial(batches):
         held: dict[str, Wrapper] = {}
@@ -406,6 +407,7 @@ def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of each row, by the wrappers inferred from all rows."""
+    ship(pages)
     rows = _rows(pages, id_col, url, html)
     wrappers = cut(infer(pages, id_col, url, html).select(F.col("host").alias("__h"), "wrapper"))
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
