@@ -1,9 +1,10 @@
-"""What the operators share: checkpoints, size-checked broadcasts and Arrow text batches."""
+"""What the operators share: written tables, size-checked broadcasts and Arrow text batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names; only a session without one gets its own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; only a session without one gets its own."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not hasattr(context, "_stratagraph_folder"):
+        context._stratagraph_folder = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
+    return context._stratagraph_folder
 
 
 def ship(df: DataFrame) -> None:
@@ -39,9 +42,15 @@ def ship(df: DataFrame) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows from a reliable checkpoint: the lineage ends there, and lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows from a table in the shared folder: the lineage ends there, and lost executors lose nothing.
+
+    A table rather than checkpoint(), whose result keeps the constraints of the plan that made it;
+    in loops these multiply until planning takes minutes and all of the driver's memory.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strata/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
