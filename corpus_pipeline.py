@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import langid, mixing, neardup, pieces, quality
 from stratagraph.llm.queries import segmented
-from stratagraph.llm.runtime import ensure_checkpoint_dir, small_side, cut
+from stratagraph.llm.runtime import cut, shared_folder, small_side
 
 #: Least share of a text's words that its language must have for the text to stay.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -86,9 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; what lies between them is in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
