@@ -40,6 +40,9 @@ HELD_HOSTS, SALTS, MAX_TOKENS = 5_000, 32, 600
 #: A text is a host's constant if so many pages have it and none another.
 CONSTANT_PAGES = 3
 
+#: Words before a cue that take its meaning.
+NEGATING = frozenset("with has no without".split())
+
 # Names of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -53,7 +56,7 @@ CLOSES_P = BLOCKS - {"br"}
 ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of a class, id or role that mark what isn't main text.
 CUES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
 #: A tag's quoted values may hold ">", or else, where a quote isn't closed, the tag ends at the next one.
@@ -63,9 +66,14 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _cued(attributes: str) -> bool:
+    """Whether the names say that the element isn't main text; has-sidebar and the like say nothing of the kind."""
     for m in _NAMES.finditer(attributes):
-        if not CUES.isdisjoint(w.lower() for w in _WORDS.findall(m[1] or m[2] or m[3] or "")):
-            return True
+        before = ""
+        for word in _WORDS.findall(m[1] or m[2] or m[3] or ""):
+            word = word.lower()
+            if word in CUES and before not in NEGATING:
+                return True
+            before = word
     return False
 
 
@@ -150,7 +158,7 @@ class Page:
             attributes = m[3]
             path = stack[-1][1]
             # inline elements are no containers, unless their names say what they hold
-            mark = name in BOILERPLATE or bool(attributes) and _cued(attributes)
+            mark = name in BOILERPLATE or bool(attributes) and name not in ("html", "body", "article", "main") and _cued(attributes)
             if name in BLOCKS or mark:
                 if mark and name not in BLOCKS:
                     flush()

@@ -13,6 +13,7 @@ def test_blocks_and_boilerplate():
     assert text("<body><div id='cookie-notice'>ok?</div><p>one<p>two<form>q</form></body>") == "one\ntwo"
     assert text("") == "" and text("plain &amp; simple") == "plain & simple" and text("<article><p>cut off &am") == "cut off &am"
     assert text('<article><p class="adventure shadow">kept</p></article>') == "kept"
+    assert text('<body class="page has-sidebar no-ads"><div class="with-sidebar"><p>kept</p></div><div class="page-header">gone</div></body>') == "kept"
     assert text("<p title='a>b>c</p><p>d</p>").endswith("d")  # a quote that isn't closed
 
 
