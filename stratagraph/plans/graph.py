@@ -6,6 +6,7 @@ pushed filters and no join. Tables are partitioned by kind: an intent reads only
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,20 +55,21 @@ def graph_of(nodes: DataFrame, edges: DataFrame, observations: DataFrame) -> Gra
 
 
 def stored(nodes: DataFrame, edges: DataFrame, observations: DataFrame, path: str) -> Graph:
-    """Writes the snapshot partitioned by kind, names joined in once, and reads it from there."""
+    """Writes the snapshot partitioned by kind, names joined in once, and reads it from there.
+
+    Rows are rebalanced by kind: Spark joins small kinds' tasks and splits large ones by size.
+    """
     spark = nodes.sparkSession
-    nodes.repartition("kind").write.partitionBy("kind").parquet(f"{path}/nodes")
+    nodes.hint("rebalance", "kind").write.partitionBy("kind").parquet(f"{path}/nodes")
     nodes = spark.read.schema(nodes.schema).parquet(f"{path}/nodes")
     named = with_names(nodes, edges)
-    named.repartition("edge_kind", F.pmod(F.xxhash64("src_node_id"), F.lit(8))).write.partitionBy("edge_kind").parquet(f"{path}/edges")
+    named.hint("rebalance", "edge_kind").write.partitionBy("edge_kind").parquet(f"{path}/edges")
     observations.write.parquet(f"{path}/observations")
     return Graph(nodes, spark.read.schema(named.schema).parquet(f"{path}/edges"), spark.read.schema(observations.schema).parquet(f"{path}/observations"))
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The star schema's graph; written once for a session and folder."""
-    import uuid
-
     held = spark.sparkContext.__dict__.setdefault("_stratagraph_graphs", {})
     if sf_dir not in held:
         t = star.star_tables(spark, sf_dir)
