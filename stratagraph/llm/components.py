@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import cut
+from stratagraph.llm.runtime import cut, cut_few
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,13 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    n = both.count()
+    labels = cut_few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), n)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["a"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("now"))
         over = labels.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
         jumped = new.join(over, F.col("now") == F.col("__n"), "left").select("node", "old", F.least(F.col("now"), F.coalesce("__c", "now")).alias("component"))
-        jumped = cut(jumped)
+        jumped = cut_few(jumped, n)
         labels = jumped.select("node", "component")
         if jumped.filter(F.col("old") != F.col("component")).isEmpty():
             return labels

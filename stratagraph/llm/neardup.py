@@ -9,11 +9,14 @@ near copies outweigh the shared rest many times over.
 For each of BANDS * BAND_ROWS samples a text draws the shingle with the least a = ln c - r (t - beta) - r,
 where t = floor(ln w / r + beta) and r, c, beta come from a table indexed by the shingle's hash; equal
 shingles with equal t then meet with the probability of the weighted Jaccard similarity. Texts that
-agree in a band share a bucket. In each bucket every text is compared with the least one; then,
-as long as a bucket has texts of several classes, those outside its main class are compared with
-all others there that aren't of their class, LEADERS of a large bucket at a time. So no link
-between different texts of a bucket stays unseen, yet copies aren't expanded into all pairs. Pairs
-are verified by the exact weighted Jaccard similarity; classes are the links' connected components.
+agree in a band share a bucket. In each bucket every text is compared with its most typical one
+(of the least mean idf: the one that the others were edited from, if any), and then those that
+aren't of its class with the most typical of these. Whatever is still outside its bucket's main
+class goes through an exact similarity join with all texts of such buckets that aren't of its
+class: texts that are alike must share one of their rarest shingles, and enough must follow it in
+both. So no link between different texts of a bucket stays unseen, yet copies aren't expanded into
+all pairs. Pairs are verified by the exact weighted Jaccard similarity; classes are the links'
+connected components.
 
 Copies of a text are one text all the while. Nothing grows on the driver: it gets the sketch, of
 4 MB whatever the input, and counts.
@@ -41,7 +44,8 @@ BANDS, BAND_ROWS = 20, 5
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 12
 IDF_FLOOR = 0.75
-LEADERS = 64
+#: Rounds in which a bucket's texts meet one of them.
+STAR_ROUNDS = 2
 _TABLE_BITS = 13
 
 
@@ -171,23 +175,25 @@ def _text_key(text: Column) -> Column:
 
 
 def signatures(rows: DataFrame, idf) -> DataFrame:
-    """id, key, n_words and bucket keys of the rows (id, key, text)."""
+    """id, key, n_words, rarity (mean idf) and bucket keys of the rows (id, key, text)."""
     names = [f"b{i}" for i in range(BANDS)]
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         table = idf.value
         for batch in batches:
-            words, keys = [], []
+            words, keys, rare = [], [], []
             for _, raw, offsets in text_batches(batch, "text"):
                 hashes, of, sizes = shingles(raw, offsets)
                 words.append(sizes)
                 keys.append(band_keys(hashes, of, len(sizes), table))
+                total = np.bincount(of, weights=table[hashes >> np.uint32(32 - SKETCH_BITS)], minlength=len(sizes))
+                rare.append(np.round(total / np.maximum(np.bincount(of, minlength=len(sizes)), 1), 6))
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, BANDS), np.int64)
             w = np.concatenate(words) if words else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.int64()), *(pa.array(np.ascontiguousarray(k[:, i])) for i in range(BANDS))], ["id", "key", "n_words", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.int64()), pa.array(np.concatenate(rare) if rare else np.zeros(0)), *(pa.array(np.ascontiguousarray(k[:, i])) for i in range(BANDS))], ["id", "key", "n_words", "rarity", *names])
 
-    return rows.mapInArrow(run, f"id {kind}, key binary, n_words long, " + ", ".join(f"{b} long" for b in names))
+    return rows.mapInArrow(run, f"id {kind}, key binary, n_words long, rarity double, " + ", ".join(f"{b} long" for b in names))
 
 
 def _shingle_lists(rows: DataFrame) -> DataFrame:
@@ -224,32 +230,74 @@ def _pairs(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _links(members: DataFrame, lists: DataFrame, idf, threshold: float) -> DataFrame:
-    """All links that the buckets (bucket, tid, lead, n) lead to: pairs whose components are the classes."""
+def _prefixes(lists: DataFrame, idf, threshold: float) -> DataFrame:
+    """The rows (tid, sh) as their rarest shingles: token, tid, rest and weight.
+
+    Shingles are in one order for all texts, rare ones first. Texts that are alike enough overlap in
+    `threshold` of either's weight, so the first shingle that they share stands where at least so
+    much of each is left; only such places are emitted. `rest` is the weight from there on.
+    """
+
+    def run(batches):
+        table = idf.value
+        for batch in batches:
+            tokens, tids, rests, totals = [], [], [], []
+            for tid, sh in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h, n = np.unique(sh.values.to_numpy().view(np.uint32), return_counts=True)
+                w = weights(h, n, table).astype(np.float64)
+                order = np.lexsort((h, -table[h >> np.uint32(32 - SKETCH_BITS)]))
+                w = w[order]
+                rest = np.cumsum(w[::-1])[::-1]
+                first = rest >= threshold * rest[0] - 1e-6
+                tokens.append(h[order][first].view(np.int32))
+                tids.append(np.full(int(first.sum()), tid))
+                rests.append(rest[first])
+                totals.append(np.full(int(first.sum()), rest[0]))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, tids, rests, totals)], ["token", "tid", "rest", "weight"])
+
+    return lists.mapInArrow(run, "token int, tid long, rest double, weight double")
+
+
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The buckets that hold several classes: bucket, tid, lead, rarity, comp, and main, the lead's class."""
+    known = members.join(comp, members["tid"] == comp["node"], "left").select("bucket", "tid", "lead", "rarity", F.coalesce("component", "tid").alias("comp"))
+    spread = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("tid") == F.col("lead"), F.col("comp"))).alias("main")).filter("low != high")
+    return cut(known.join(spread.select("bucket", "main"), "bucket"))
+
+
+def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes (node, component) with the links `found` (a, b) added: components of the few classes that they join."""
+    if found.isEmpty():
+        return comp
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a != b")
+    to = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    new = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return cut(comp.unionByName(new).join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
+def _classes(members: DataFrame, lists: DataFrame, idf, threshold: float) -> DataFrame:
+    """node and component: the classes that all links inside the buckets (bucket, tid, rarity, lead) make."""
     pairs = members.filter("tid != lead").select(*_pairs("lead", "tid")).distinct()
-    links = cut(_verified(pairs, lists, idf, threshold))
-    led = None  # (bucket, tid) compared with all of the bucket that aren't of its class
-    while True:
-        comp = components(links)
-        known = members.join(comp, members["tid"] == comp["node"], "left").select("bucket", "tid", "lead", F.coalesce("component", "tid").alias("comp"))
-        spread = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-        # the main class is the lead's; all that had been compared with the lead already
-        lead = known.filter("tid = lead").select("bucket", F.col("comp").alias("main"))
-        open_ = known.join(spread, "bucket").join(lead, "bucket")
-        todo = open_.filter("comp != main")
-        if led is not None:
-            todo = todo.join(led, ["bucket", "tid"], "left_anti")
-        open_, todo = cut(open_), cut(todo)
-        if todo.isEmpty():
-            return links
-        # of each bucket the least text in each of LEADERS hash slots; all of a small bucket, nearly
-        slots = todo.groupBy("bucket", F.pmod(F.xxhash64("tid"), F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("tid", "comp")).alias("l"))
-        leaders = cut(slots.select("bucket", F.col("l.tid").alias("leader"), F.col("l.comp").alias("leader_comp")))
-        met = open_.join(leaders, "bucket").filter("comp != leader_comp and tid != lead")
-        found = cut(_verified(met.select(*_pairs("leader", "tid")).distinct(), lists, idf, threshold))
-        links = cut(links.unionByName(found))
-        now = leaders.select("bucket", F.col("leader").alias("tid"))
-        led = now if led is None else cut(led.unionByName(now))
+    comp = components(cut(_verified(pairs, lists, idf, threshold)))
+    for _ in range(STAR_ROUNDS - 1):  # the most typical of each bucket's other texts, with all that aren't of its class
+        open_ = _open(members, comp)
+        other = open_.filter("comp != main").groupBy("bucket").agg(F.min(F.struct("rarity", "tid", "comp")).alias("l"))
+        met = open_.filter("tid != lead").join(other, "bucket").filter("comp != l.comp").select("tid", F.col("l.tid").alias("leader"))
+        comp = _joined(comp, cut(_verified(met.select(*_pairs("leader", "tid")).distinct(), lists, idf, threshold)))
+    # what is still outside its bucket's main class meets, exactly, all that it may be alike to
+    open_ = _open(members, comp)
+    if open_.isEmpty():
+        return comp
+    texts = cut(open_.groupBy("tid").agg(F.max((F.col("comp") != F.col("main"))).alias("loose"), F.min("comp").alias("comp")))
+    rows = cut(_prefixes(lists.join(texts.select("tid"), "tid", "left_semi"), idf, threshold).join(texts, "tid"))
+    x = rows.filter("loose").select("token", F.col("tid").alias("a"), F.col("rest").alias("ra"), F.col("weight").alias("wa"), F.col("comp").alias("ca"))
+    y = rows.select("token", F.col("tid").alias("b"), F.col("rest").alias("rb"), F.col("weight").alias("wb"), F.col("comp").alias("cb"), F.col("loose").alias("lb"))
+    least = threshold / (1 + threshold) * (F.col("wa") + F.col("wb")) - 1e-6
+    near = (x["token"] == y["token"]) & (F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least) & (~F.col("lb") | (F.col("a") < F.col("b")))
+    met = x.join(y, near).select(*_pairs("a", "b")).distinct()
+    return _joined(comp, cut(_verified(met, lists, idf, threshold)))
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -261,17 +309,17 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     idf = spark.sparkContext.broadcast(sketch(rows))
     marks = cut(signatures(rows, idf))
     bands = [f"b{i}" for i in range(BANDS)]
-    texts = marks.filter("n_words > 0").groupBy("key").agg(F.min("id").alias("rep"), *(F.min(b).alias(b) for b in bands))
+    texts = marks.filter("n_words > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("rarity").alias("rarity"), *(F.min(b).alias(b) for b in bands))
     texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
-    buckets = texts.select("tid", F.explode(F.array(*bands)).alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("lead")).filter("n > 1")
-    members = cut(buckets.join(shared, "bucket"))
+    buckets = texts.select("tid", "rarity", F.explode(F.array(*bands)).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rarity", "tid")).alias("l")).filter("n > 1")
+    members = cut(buckets.join(shared.select("bucket", F.col("l.tid").alias("lead")), "bucket"))
     wanted = members.select("tid").distinct().join(texts.select("tid", "key", "rep"), "tid")
     wanted = small_side(cut(wanted.select("tid", F.col("key").alias("__k"), "rep")))
     # one row of each text that shares a bucket; ids spread the rows of a text with very many copies
     chosen = rows.join(wanted, (F.col("key") == F.col("__k")) & F.col("id").eqNullSafe(F.col("rep")))
     lists = cut(_shingle_lists(chosen.select("tid", "text")).dropDuplicates(["tid"]))
-    comp = components(_links(members, lists, idf, threshold))
+    comp = _classes(members, lists, idf, threshold)
     found = texts.select("tid", "key", "rep").join(comp, F.col("tid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "tid"))
     least = found.groupBy("comp").agg(F.min("rep").alias("class_id"))
     of_text = found.join(least, "comp").select(F.col("key").alias("__k"), "class_id")

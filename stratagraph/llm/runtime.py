@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_few(df: DataFrame, rows: int, rows_each: int = 100_000) -> DataFrame:
+    """cut() of a table of at most so many narrow rows, in as many tasks and files as they need."""
+    tasks = max(1, -(-rows // rows_each)) * 6
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.coalesce(tasks) if tasks < wanted else df)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if a count shows the (already cut) table to be small; else the table, to be shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
