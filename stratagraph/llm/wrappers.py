@@ -7,13 +7,17 @@ a slot, and where the streams mismatch, what only one side has becomes an option
 wrappers are made inside each task and then merged in two rounds per host, so no task gets a
 host's pages, only its partial wrappers.
 
-Every slot of a wrapper carries what the host's pages show at that place: pages, characters, how
-many of them are in links, and the text if it never changed. Slots are main text or not by the
-containers they lie in (a menu, header, footer, sidebar, notice, advert, form, comment or share box
-never is); below an article or main element they are main text whatever they hold, and in a page
+The finished expression then reads each page of a host that has pages without an article or main
+element, and says which of its slots each text fills: a slot is a place in the expression, so two
+texts in like containers are two slots where the pages' structure tells them apart. Every slot
+carries what the host's pages show at that place: pages, characters, how many of them are in links,
+and the text if it never changed. Slots are main text or not by the containers they lie in (a menu,
+header, footer, sidebar, notice, advert, form, comment or share box never is); below an article or
+main element they are main text whatever they hold, so such pages need no expression, and in a page
 without one, unless they hold the same text on all of several pages or mostly links.
 
-Extraction reads each page once, with its host's slots, and emits the blocks of main text in order.
+Extraction reads each page again, with its host's slots, and emits the blocks of main text in order.
+An expression is as long as its host's pages are varied; it takes in every page that it was made of.
 
 Defined results: null html is an empty page, with no text; a page cut off anywhere is read as far as
 it goes; a null url belongs to the host ''; repeated rows each give a row; an empty table gives an
@@ -35,7 +39,7 @@ from stratagraph.llm.runtime import cut, ship
 
 #: Characters of wrappers that may be broadcast together; beyond it they join by host.
 BROADCAST_CHARS = 32 << 20
-#: Hosts whose partial wrappers a task holds at once, salts of the first merge, and tokens of a wrapper.
+#: Hosts whose partial wrappers a task holds at once, salts of the first merge, and items of a side whose square bounds an alignment.
 HELD_HOSTS, SALTS, MAX_TOKENS = 5_000, 32, 600
 #: A text is a host's constant if so many pages have it and none another.
 CONSTANT_PAGES = 3
@@ -305,58 +309,144 @@ def expression(items) -> str:
     return "".join(i if isinstance(i, str) else f"({expression(i[1])}){i[0]}" for i in items)
 
 
+class Matcher:
+    """An expression as an automaton, which finds the slot that each text of a page fills."""
+
+    def __init__(self, items):
+        #: Places: (token, the state after it), or (None, states that it stands for, the preferred one first).
+        self._states: list[tuple] = [(None, [])]
+        self._after: dict[int, tuple[dict[str, list[int]], bool]] = {}
+        self._start = self._sequence(items, 0)
+
+    def _sequence(self, items, to: int) -> int:
+        for item in reversed(items):
+            if isinstance(item, str):
+                self._states.append((item, to))
+                to = len(self._states) - 1
+                continue
+            kind, group = item
+            fork = len(self._states)
+            self._states.append((None, []))
+            first = self._sequence(group, to if kind == "?" else fork)
+            self._states[fork][1].extend((first, to))
+            to = first if kind == "+" else fork
+        return to
+
+    def _next(self, place: int | None) -> tuple[dict[str, list[int]], bool]:
+        """The places that may follow one, by their tokens, and whether the page may end there."""
+        if place not in self._after:
+            by: dict[str, list[int]] = {}
+            stack, seen = [self._start if place is None else self._states[place][1]], set()
+            while stack:
+                k = stack.pop()
+                if k not in seen:
+                    seen.add(k)
+                    token, to = self._states[k]
+                    if token is None:
+                        stack.extend(reversed(to))
+                    else:
+                        by.setdefault(token, []).append(k)
+            self._after[place] = by, 0 in seen
+        return self._after[place]
+
+    def slots(self, tokens: list[str]) -> list[int] | None:
+        """The slot of each text in order, or None if the expression doesn't spell the page."""
+        steps: list[dict] = []
+        now: dict = {None: None}
+        for token in tokens:
+            then: dict = {}
+            for place in now:
+                for k in self._next(place)[0].get(token, ()):
+                    then.setdefault(k, place)
+            if not then:
+                return None
+            steps.append(then)
+            now = then
+        ends = [place for place in now if self._next(place)[1]]
+        if not ends:
+            return None
+        at, out = ends[0], []
+        for token, step in zip(reversed(tokens), reversed(steps)):
+            if token[0] == "#":
+                out.append(at)
+            at = step[at]
+        return out[::-1]
+
+
+def tally(blocks, slots) -> dict:
+    """What one page shows in each slot: 1, characters, those in links, and the one text or None."""
+    seen: dict = {}
+    for slot, (_, text, linked) in zip(slots, blocks):
+        s = seen.setdefault(slot, [1, 0, 0, text if len(text) <= 200 else None])
+        s[1] += len(text)
+        s[2] += linked
+        if s[3] is not None and s[3] != text:
+            s[3] = None
+    return seen
+
+
+def pool(into: dict, slots: dict) -> None:
+    """Adds what other pages show in the slots."""
+    for slot, (pages, chars, linked, text) in slots.items():
+        s = into.get(slot)
+        if s is None:
+            into[slot] = [pages, chars, linked, text]
+        else:
+            s[0] += pages
+            s[1] += chars
+            s[2] += linked
+            if s[3] != text:
+                s[3] = None
+
+
+def is_main(path: str, held: list, of: int) -> bool:
+    """Whether a slot with this path is main text in a page without an article or main element, on a host of so many pages."""
+    pages, chars, linked, text = held
+    constant = text is not None and pages >= CONSTANT_PAGES and pages == of
+    return "!" not in path and not constant and 2 * linked <= chars
+
+
 class Wrapper:
-    """A host's expression, and what its slots hold: pages, characters, those in links, and the one text or None."""
+    """A host's expression, and what lies at its paths: pages, characters, those in links, and the one text or None."""
 
     def __init__(self):
         self.items: list | None = None
         self.pages = 0
+        #: Pages without an article or main element.
+        self.bare = 0
         self.slots: dict[str, list] = {}
+        self._matcher: Matcher | None = None
 
     def add(self, page: Page) -> None:
-        self._take(absorb(collapse(page.tokens)), 1)
-        seen: dict[str, list] = {}
-        for path, text, linked in page.blocks:
-            s = seen.setdefault(path, [1, 0, 0, text if len(text) <= 200 else None])
-            s[1] += len(text)
-            s[2] += linked
-            if s[3] is not None and s[3] != text:
-                s[3] = None
-        self._slots(seen)
+        # a long expression that takes the page in already isn't aligned again
+        if self.items is None or len(self.items) <= MAX_TOKENS or self.matcher().slots(page.tokens) is None:
+            self._take(absorb(collapse(page.tokens)))
+        self.pages += 1
+        self.bare += not page.has_main
+        pool(self.slots, tally(page.blocks, (path for path, _, _ in page.blocks)))
 
     def merge(self, other: Wrapper) -> None:
         if other.items is not None:
-            self._take(other.items, other.pages)
-            self._slots(other.slots)
+            self._take(other.items)
+            self.pages += other.pages
+            self.bare += other.bare
+            pool(self.slots, other.slots)
 
-    def _take(self, items: list, pages: int) -> None:
+    def _take(self, items: list) -> None:
         self.items = items if self.items is None else align(self.items, items)
-        if len(self.items) > MAX_TOKENS:  # what has no common form stays one optional group
-            self.items = [*self.items[: MAX_TOKENS // 2], ("*", ("#",)), *self.items[-MAX_TOKENS // 2 :]]
-        self.pages += pages
-
-    def _slots(self, slots: dict[str, list]) -> None:
-        for path, (pages, chars, linked, text) in slots.items():
-            s = self.slots.get(path)
-            if s is None:
-                self.slots[path] = [pages, chars, linked, text]
-            else:
-                s[0] += pages
-                s[1] += chars
-                s[2] += linked
-                if s[3] != text:
-                    s[3] = None
+        self._matcher = None
+
+    def matcher(self) -> Matcher:
+        if self._matcher is None:
+            self._matcher = Matcher(self.items or [])
+        return self._matcher
 
     def main_slots(self) -> dict[str, bool]:
         """For each path whether it is main text in a page without an article or main element."""
-        out = {}
-        for path, (pages, chars, linked, text) in self.slots.items():
-            constant = text is not None and pages >= CONSTANT_PAGES and pages == self.pages
-            out[path] = "!" not in path and not constant and 2 * linked <= chars
-        return out
+        return {path: is_main(path, held, self.pages) for path, held in self.slots.items()}
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.pages, self.slots], ensure_ascii=False)
+        return json.dumps([self.items, self.pages, self.bare, self.slots], ensure_ascii=False)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
@@ -364,7 +454,7 @@ class Wrapper:
             return x if isinstance(x, str) else (x[0], tuple(back(i) for i in x[1]))
 
         out = cls()
-        items, out.pages, out.slots = json.loads(text)
+        items, out.pages, out.bare, out.slots = json.loads(text)
         out.items = None if items is None else [back(i) for i in items]
         return out
 
@@ -375,13 +465,34 @@ def main_text(page: Page, slots: dict[str, bool]) -> str:
     return "\n".join(text for path, text, _ in page.blocks if slots.get(path, "!" not in path))
 
 
+class Form:
+    """A host's finished expression with what its slots hold over all of the host's pages."""
+
+    def __init__(self, wrapper: str, held: str | None = None):
+        self.wrapper = Wrapper.load(wrapper)
+        self.matcher = self.wrapper.matcher()
+        #: By the place in the expression; JSON has its keys as strings.
+        self.held: dict[str, list] = json.loads(held) if held else {}
+
+    def add(self, page: Page) -> None:
+        slots = self.matcher.slots(page.tokens)
+        if slots is not None:
+            pool(self.held, tally(page.blocks, map(str, slots)))
+
+    def text(self, page: Page) -> str:
+        slots = None if page.has_main else self.matcher.slots(page.tokens)
+        if slots is None:
+            return main_text(page, {} if page.has_main else self.wrapper.main_slots())
+        return "\n".join(text for k, (path, text, _) in zip(slots, page.blocks) if is_main(path, self.held[str(k)], self.wrapper.pages))
+
+
 def _rows(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url).cast("string"), r"^[^:/?#]*://([^/?#]*)", 1), F.lit("")))
     return pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
 
 
 def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """host, its wrapper (JSON) and the wrapper's expression."""
+    """host, its wrapper (JSON) and the number of its pages without an article or main element."""
     ship(pages)
 
     def partial(batches):
@@ -390,9 +501,9 @@ def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
 
         def out():
             names = list(held)
-            dumps = [held[h].dump() for h in names]
+            dumps, bare = [held[h].dump() for h in names], [held[h].bare for h in names]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array(dumps, pa.string())], ["host", "salt", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array(dumps, pa.string()), pa.array(bare, pa.int64())], ["host", "salt", "wrapper", "bare"])
 
         for batch in batches:
             for host, page in zip(batch.column(0), batch.column(1)):
@@ -406,37 +517,82 @@ def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
         w = Wrapper()
         for text in sorted(table.column("wrapper").to_pylist()):
             w.merge(Wrapper.load(text))
-        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "wrapper": pa.array([w.dump()], pa.string())})
+        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "wrapper": pa.array([w.dump()], pa.string()), "bare": pa.array([w.bare], pa.int64())})
 
-    schema = "host string, salt int, wrapper string"
+    schema = "host string, salt int, wrapper string, bare long"
     parts = _rows(pages, id_col, url, html).select("host", "html").mapInArrow(partial, schema)
-    return parts.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
+    return parts.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper", "bare")
+
+
+def _with_forms(rows: DataFrame, forms: DataFrame, how: str) -> DataFrame:
+    """The rows with their host's columns of the (already cut) table of wrappers."""
+    size = forms.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    return rows.join(F.broadcast(forms) if size <= BROADCAST_CHARS else forms, F.col("host") == F.col("__h"), how)
+
+
+def fill(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host and what the slots of its expression hold (JSON), by matching each row (host, html) with its host's wrapper (__h, wrapper)."""
+
+    def partial(batches):
+        forms: dict[str, Form] = {}
+        salt = TaskContext.get().partitionId() % SALTS
+
+        def out():
+            names = list(forms)
+            held = [json.dumps(forms[h].held, ensure_ascii=False) for h in names]
+            forms.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array(held, pa.string())], ["host", "salt", "held"])
+
+        for batch in batches:
+            for host, html_, wrapper in zip(*batch.columns):
+                h = host.as_py()
+                if h not in forms:
+                    if len(forms) >= HELD_HOSTS:
+                        yield out()
+                    forms[h] = Form(wrapper.as_py())
+                forms[h].add(Page(html_.as_py()))
+        if forms:
+            yield out()
+
+    def merged(table: pa.Table) -> pa.Table:
+        held: dict[str, list] = {}
+        for text in sorted(table.column("held").to_pylist()):
+            pool(held, json.loads(text))
+        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "held": pa.array([json.dumps(held, ensure_ascii=False)], pa.string())})
+
+    schema = "host string, salt int, held string"
+    parts = _with_forms(rows.select("host", "html"), wrappers, "inner").select("host", "html", "wrapper").mapInArrow(partial, schema)
+    return parts.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "held")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url and text of each row, by the wrappers inferred from all rows."""
     ship(pages)
     rows = _rows(pages, id_col, url, html)
-    wrappers = cut(infer(pages, id_col, url, html).select(F.col("host").alias("__h"), "wrapper"))
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    rows = rows.join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, F.col("host") == F.col("__h"), "left")
-    rows = rows.select("id", "url", "host", "html", "wrapper")
+    # only hosts with pages outside article and main have texts that slots decide about
+    wrappers = cut(infer(pages, id_col, url, html).filter("bare > 0").select(F.col("host").alias("__h"), "wrapper"))
+    if wrappers.isEmpty():
+        rows = rows.withColumns({"wrapper": F.lit(None).cast("string"), "held": F.lit(None).cast("string")})
+    else:
+        forms = cut(wrappers.join(fill(rows, wrappers), F.col("__h") == F.col("host")).select("__h", "wrapper", "held"))
+        rows = _with_forms(rows, forms, "left")
+    rows = rows.select("id", "url", "host", "html", "wrapper", "held")
 
     def run(batches):
-        held: dict[str, dict[str, bool]] = {}
+        forms: dict[str, Form] = {}
         for batch in batches:
             texts = []
-            for host, html_, wrapper in zip(batch.column(2), batch.column(3), batch.column(4)):
+            for host, html_, wrapper, held in zip(*batch.columns[2:]):
                 page = Page(html_.as_py())
-                slots: dict[str, bool] = {}
-                if not page.has_main:
-                    h = host.as_py()
-                    if h not in held:
-                        if len(held) >= HELD_HOSTS:
-                            held.clear()
-                        held[h] = Wrapper.load(wrapper.as_py()).main_slots() if wrapper.is_valid else {}
-                    slots = held[h]
-                texts.append(main_text(page, slots))
+                if page.has_main:
+                    texts.append(main_text(page, {}))
+                    continue
+                h = host.as_py()
+                if h not in forms:
+                    if len(forms) >= HELD_HOSTS:
+                        forms.clear()
+                    forms[h] = Form(wrapper.as_py(), held.as_py())
+                texts.append(forms[h].text(page))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, f"page_id {rows.schema['id'].dataType.simpleString()}, url string, text string")

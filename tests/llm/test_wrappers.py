@@ -57,3 +57,30 @@ def test_very_long_page():
     n = 20_000
     page = W.Page("<article>" + "<p>word</p>" * n)
     assert W.main_text(page, {}).count("\n") == n - 1
+
+
+def test_an_expression_spells_each_of_its_pages():
+    import random
+
+    draw = random.Random(5)
+    part = lambda: draw.choice(["<p>a</p>", "<h2>b</h2>", "<ul>" + "<li>c" * draw.randint(1, 4) + "</ul>", "<div><p>d</p></div>", "<table><tr><td>e<td>f</table>"])
+    for most in (4, 12):
+        pages = ["<div>" + "".join(part() for _ in range(draw.randint(0, most))) + "</div><p>end</p>" for _ in range(40)]
+        w = wrapper(*pages[:25])
+        w.merge(W.Wrapper.load(wrapper(*pages[25:]).dump()))
+        for p in map(W.Page, pages):
+            assert len(w.matcher().slots(p.tokens)) == len(p.blocks)
+
+
+def test_long_expressions_stay_whole():
+    page = "".join(f"<{a}><{b}><{c}>t</{c}></{b}></{a}>" for a in ("div", "section", "table", "dl") for b in ("h1", "h2", "h3", "h4", "h5", "h6") for c in ("p", "pre", "ul", "ol", "address", "center", "hgroup", "dd", "dt", "li"))
+    w = wrapper(page, page + "<h2>more</h2>")
+    assert len(w.items) > W.MAX_TOKENS and all(w.matcher().slots(W.Page(p).tokens) for p in (page, page + "<h2>more</h2>"))
+
+
+def test_places_with_like_containers_are_apart(spark):
+    """The paragraph after the table is another slot than the body, which has the same path."""
+    page = lambda i, note: f"<div><h1>t{i}</h1><p>body {i}</p><table><tr><td>cell {i}</table><p>{note}</p></div>"
+    rows = [(i, f"http://a.org/{i}", page(i, "All rights")) for i in range(4)] + [(10 + i, f"http://b.org/{i}", page(i, f"<a href=x>many words about where to go next {i}</a>")) for i in range(4)]
+    by = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[2] == "t2\nbody 2\ncell 2" and by[12] == "t2\nbody 2\ncell 2"
