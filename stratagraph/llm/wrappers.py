@@ -11,7 +11,7 @@ The finished expression then reads each page of a host that has pages without an
 element, and says which of its slots each text fills: a slot is a place in the expression, so two
 texts in like containers are two slots where the pages' structure tells them apart. Every slot
 carries what the host's pages show at that place: pages, characters, how many of them are in links,
-and the text if it never changed. Slots are main text or not by the containers they lie in (a menu,
+and the length and digest of the text if it never changed. Slots are main text or not by the containers they lie in (a menu,
 header, footer, sidebar, notice, advert, form, comment or share box never is); below an article or
 main element they are main text whatever they hold, so such pages need no expression, and in a page
 without one, unless they hold the same text on all of several pages or mostly links.
@@ -26,6 +26,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -373,14 +374,20 @@ class Matcher:
         return out[::-1]
 
 
+def mark(text: str) -> str:
+    """Stands for a text of any length."""
+    return f"{len(text)}:{hashlib.md5(text.encode('utf-8', 'surrogatepass')).hexdigest()}"
+
+
 def tally(blocks, slots) -> dict:
-    """What one page shows in each slot: 1, characters, those in links, and the one text or None."""
+    """What one page shows in each slot: 1, characters, those in links, and the mark of the one text or None."""
     seen: dict = {}
     for slot, (_, text, linked) in zip(slots, blocks):
-        s = seen.setdefault(slot, [1, 0, 0, text if len(text) <= 200 else None])
+        own = mark(text)
+        s = seen.setdefault(slot, [1, 0, 0, own])
         s[1] += len(text)
         s[2] += linked
-        if s[3] is not None and s[3] != text:
+        if s[3] != own:
             s[3] = None
     return seen
 
@@ -407,7 +414,7 @@ def is_main(path: str, held: list, of: int) -> bool:
 
 
 class Wrapper:
-    """A host's expression, and what lies at its paths: pages, characters, those in links, and the one text or None."""
+    """A host's expression, and what lies at its paths: pages, characters, those in links, and the mark of the one text or None."""
 
     def __init__(self):
         self.items: list | None = None

@@ -84,3 +84,11 @@ def test_places_with_like_containers_are_apart(spark):
     rows = [(i, f"http://a.org/{i}", page(i, "All rights")) for i in range(4)] + [(10 + i, f"http://b.org/{i}", page(i, f"<a href=x>many words about where to go next {i}</a>")) for i in range(4)]
     by = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert by[2] == "t2\nbody 2\ncell 2" and by[12] == "t2\nbody 2\ncell 2"
+
+
+def test_constants_of_any_length():
+    for n in (200, 201, 5000):
+        slots = wrapper(*(f"<div><h4>{'c' * n}</h4><p>text {i}</p></div>" for i in range(4))).main_slots()
+        assert not slots[">div>h4"] and slots[">div>p"]
+    w = wrapper(*(f"<div><h4>{'c' * 300}{i}</h4></div>" for i in range(4)))
+    assert w.main_slots()[">div>h4"] and len(w.dump()) < 400
