@@ -19,52 +19,52 @@ from stratagraph.llm.runtime import cut, shared_folder, small_side
 LEAST_LANGUAGE_SHARE = 0.5
 
 
-def _rows_of(docs: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
-    """The rows of docs whose ids are in `chosen` (doc_id, copies): as they are, or so many times.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, `__row`, in a written table: ids may be null or repeat, with other texts."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
 
-    Only ids and small numbers are in `chosen`; it is broadcast if a count shows it to be small.
-    """
-    chosen = small_side(cut(chosen.select(F.col("doc_id").alias("__id"), "copies")))
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
-    if copies:
-        rows = rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(docs.columns)
 
+def _rows_of(rows: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
+    """The numbered rows that are in `chosen` (__row, copies): as they are, or so many times.
 
-def _per_id(verdicts: DataFrame, kept) -> DataFrame:
-    """One row for each id with a kept row. Rows that repeat an id share a verdict or the best of theirs."""
-    return verdicts.filter(kept).select("doc_id").distinct().withColumn("copies", F.lit(1))
+    Only numbers are in `chosen`; it is broadcast if a count shows it to be small.
+    """
+    chosen = small_side(cut(chosen.select(F.col("__row").alias("__r"), *(["copies"] if copies else []))))
+    out = rows.join(chosen, F.col("__row") == F.col("__r"), "inner")
+    if copies:
+        out = out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select([c for c in rows.columns if c != "__row"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words, and those in which no language has half of the words, go."""
-    found = langid.identify(docs)
-    return _rows_of(docs, _per_id(found, (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)))
+    rows = _numbered(docs)
+    found = langid.predict(rows, langid.fit(rows), id_col="__row")
+    return _rows_of(rows, found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior of good quality is below one half go."""
+    rows = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     sites = quality.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"))
-    return _rows_of(docs, _per_id(quality.classify(docs, labels, sites), F.col("kept")))
+    return _rows_of(rows, quality.classify(rows, labels, sites, carry=("__row",)).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
-    found = neardup.classes(docs)
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    rows = _rows_of(docs, kept.select("doc_id", F.lit(1).alias("copies")))
-    repeated = kept.filter("n > 1").select(F.col("doc_id").alias("__id"))
-    if repeated.isEmpty():
-        return rows
-    again = small_side(cut(repeated))  # ids that several rows have: one of them stays
-    return rows.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").unionByName(rows.join(again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"]))
+    """Of each class of near-duplicates one row stays: the one with the least id, then by its text; null ids come last."""
+    rows = _numbered(docs)
+    found = neardup.classes(rows, id_col="__row").select(F.col("doc_id").alias("__r"), "class_id")
+    ids = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__row").alias("place"))
+    least = found.join(ids, F.col("__r") == F.col("__row")).groupBy("class_id").agg(F.min("place").alias("place"))
+    return _rows_of(rows, least.select("place.__row"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = mixing.mix(docs).filter("taken > 0")
-    return _rows_of(docs, mixed.groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("copies")), copies=True)
+    rows = _numbered(docs)
+    mixed = mixing.mix(rows, carry=("__row",)).filter("taken > 0")
+    return _rows_of(rows, mixed.select("__row", F.expr("taken div size").alias("copies")), copies=True)
 
 
 def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,11 +67,11 @@ def budgets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_shar
     return t.withColumn("found", level).select("source", "n_docs", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(F.col("cap"), F.coalesce("found", F.col("fill")) * F.col("weight"))).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix", quality_col: str | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words of the document in the mix) for each row."""
+def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str = "source", weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS, seed: str = "mix", quality_col: str | None = None, bucket_rows: int = BUCKET_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (words of the document in the mix) for each row, and the columns `carry`."""
     t = F.col(text).cast("string")
     q = F.greatest(F.col(quality_col).cast("double"), F.lit(1e-9)) if quality_col else quality(t)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(t, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), q.alias("q"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(t, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), q.alias("q"), *carry)
     slim = cut(slim.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("q")))
     totals = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"), F.avg("q").alias("__q"))
     totals = cut(totals)
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     rows = rows.withColumn("start", start)
     picked = (F.col("start") < F.col("budget")) & (2 * (F.col("budget") - F.col("start")) >= F.col("size"))
     taken = F.col("size") * (F.col("epochs") + F.when(picked, 1).otherwise(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carry)
 
 
 #: DuckDB's equivalent of the query over `documents`.

@@ -144,12 +144,12 @@ def _strength(sites: DataFrame, mean: float) -> float:
     return float(min(max(within / spread - 1, STRENGTH[0]), STRENGTH[1])) if spread > 0 else STRENGTH[1]
 
 
-def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", host: str = "source", section: str = "lang", keep: float = KEEP, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, host, path, p_text (the classifier's), p_path (the site's) and posterior, and whether it is kept.
+def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None, id_col: str = "doc_id", text: str = "text", host: str = "source", section: str = "lang", keep: float = KEEP, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host, path, p_text (the classifier's), p_path (the site's) and posterior, whether it is kept, and the columns `carry`.
 
     labels: (id, quality). sites: optional (id, host, section) with one row for an id, which goes before the columns.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host).cast("string").alias("host"), F.col(section).cast("string").alias("section"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(host).cast("string").alias("host"), F.col(section).cast("string").alias("section"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carry)
     y = labels.select(F.col(id_col).alias("__i"), F.col("quality").cast("double").alias("quality")).filter(F.col("__i").isNotNull()).groupBy("__i").agg(F.avg("quality").alias("y"))
     marked = _features_of(rows).join(y, F.col("id") == F.col("__i"), "left").drop("__i")
     if sites is not None:
@@ -158,13 +158,13 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     marked = cut(marked)
     model = fit(marked, sample_rows)
     if model is None:
-        return marked.select(F.col("id").alias("doc_id"), "host", F.concat_ws("/", "host", "section").alias("path"), F.lit(0.5).alias("p_text"), F.lit(0.5).alias("p_path"), F.lit(0.5).alias("posterior"), F.lit(True).alias("kept"))
+        return marked.select(F.col("id").alias("doc_id"), "host", F.concat_ws("/", "host", "section").alias("path"), F.lit(0.5).alias("p_text"), F.lit(0.5).alias("p_path"), F.lit(0.5).alias("posterior"), F.lit(True).alias("kept"), *carry)
     z = F.lit(model.bias)
     for k in range(len(FEATURES)):
         unit = (F.col("f")[k] - float(model.mean[k])) / float(model.scale[k])
         z = z + F.least(F.greatest(unit, F.lit(-8.0)), F.lit(8.0)) * float(model.weights[k])
     p = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))))
-    scored = marked.select("id", "host", "section", "y", p.alias("p_text"))
+    scored = marked.select("id", "host", "section", "y", p.alias("p_text"), *carry)
     weight = F.when(F.col("y").isNotNull(), F.lit(1.0)).otherwise(F.lit(SOFT_WEIGHT))
     paths = scored.groupBy("host", "section").agg(F.sum(weight).alias("w"), F.sum(weight * F.coalesce("y", "p_text")).alias("s"))
     paths = cut(paths)
@@ -180,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: DataFrame | None = None,
     shift = _logit(_clip(F.col("p_path"))) - float(np.log(mean / (1 - mean)))
     odds = _logit(_clip(F.col("p_text"))) + F.least(F.greatest(shift, F.lit(-SITE_LIMIT)), F.lit(SITE_LIMIT))
     out = out.withColumn("posterior", 1 / (1 + F.exp(-odds)))
-    return out.select(F.col("id").alias("doc_id"), "host", F.concat_ws("/", "host", "section").alias("path"), "p_text", "p_path", "posterior", (F.col("posterior") >= keep).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "host", F.concat_ws("/", "host", "section").alias("path"), "p_text", "p_path", "posterior", (F.col("posterior") >= keep).alias("kept"), *carry)
 
 
 def page_sites(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -30,3 +30,44 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (2, None, None, None, None), (None, "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, docs, DATA)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0)] and kept.columns == docs.columns
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(k, n=60):
+    return " ".join(f"word{k}x{i}" for i in range(n))
+
+
+def test_one_row_of_each_class_stays_whatever_the_ids(spark):
+    texts = [(None, prose(0)), (None, prose(1)), (None, prose(1) + " more"), (7, prose(2)), (7, prose(3)), (7, prose(3)), (8, prose(4)), (None, prose(4)), (9, prose(3)), (None, None), (None, "")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], COLUMNS), DATA).collect()
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept)
+    one = [x for x in ((0, prose(1)), (0, prose(1) + " more")) if x in got]
+    assert len(one) == 1  # either of the near copies
+    assert got == sorted([(0, ""), (0, ""), (0, prose(0)), *one, (7, prose(2)), (7, prose(3)), (8, prose(4))])
+    alone = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(8, prose(4), "en", "s", 1), (None, prose(4), "en", "s", 1), (None, prose(5), "en", "s", 1)], COLUMNS), DATA).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in alone) == [(0, prose(5)), (8, prose(4))]
+
+
+def test_mix_takes_rows_and_not_ids(spark):
+    from stratagraph.llm import mixing
+
+    docs = spark.createDataFrame([(None if k % 2 else 5, prose(k, 5 + k) + " 1" * (k % 7), "en", "ab"[k % 3 == 0], 1) for k in range(60)], COLUMNS)
+    mixed = mixing.mix(docs).collect()
+    rows = [len(r.text.split()) for r in corpus_pipeline.mix_sources(spark, docs, DATA).collect()]
+    assert sum(rows) == sum(r.taken for r in mixed) and len({r.taken // r.size for r in mixed}) > 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_language_and_quality_judge_rows_and_not_ids(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    good = docs.filter("lang = 'en' and n_chars > 500").orderBy("doc_id").first()
+    odd = spark.createDataFrame([(None, good.text, "en", good.source, 1), (None, "12 34 56", "en", good.source, 1), (good.doc_id, "78 90", "en", good.source, 1)], COLUMNS)
+    docs = docs.select(odd.columns).unionByName(odd.select([odd[f.name].cast(f.dataType) for f in docs.select(odd.columns).schema]))
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, docs, DATA).collect()]
+    assert (None, good.text) in found and (None, "12 34 56") not in found and (good.doc_id, "78 90") not in found
+    from stratagraph.llm import quality
+
+    labels, sites = spark.read.parquet(f"{DATA}/labels.parquet"), quality.page_sites(spark.read.parquet(f"{DATA}/pages.parquet"))
+    assert corpus_pipeline.quality_classifier(spark, docs, DATA).count() == quality.classify(docs, labels, sites).filter("kept").count()
