@@ -2,9 +2,10 @@
 
 Segments of a path become shapes (digit runs, hexadecimal keys and UUIDs are wildcards). Then, from
 the root of each host's tree down, a node with more than BRANCH children keeps those with at least
-1 / BRANCH of its pages, and the others become one wildcard. Branches that differ in their last
-literal segment merge into one where their label rates can't be told apart from the pooled rate
-(|z| < Z). A template's purity is its labelled pages' rate, shrunk towards its host's, which is
+1 / BRANCH of its pages, and the others become one wildcard; only segments that are wildcards as a
+whole are left out. Then, from the deepest level up to the root, branches that differ in one segment
+merge into one where their label rates can't be told apart from the pooled rate (|z| < Z); a segment
+with a digit run in it, already a wildcard in part, stays where there is no other. A template's purity is its labelled pages' rate, shrunk towards its host's, which is
 shrunk towards the rate over all; a template below `purity` is blocked.
 
 The tree is built from counts per (host, shape path), combined before any shuffle; pages meet
@@ -13,12 +14,15 @@ their template again by one join on narrow rows.
 Defined results: a url that is null or has no `://` has empty host and path, which is a template of
 its own; several labels of one key count as their mean; repeated rows are judged alike, each in a
 row of its own; an empty table gives an empty result; further columns are ignored.
+
+sql() leaves out of both rules all segments with a digit run in them and merges at the last literal segment only: it
+is the same for paths with one literal segment, like those of the given tables, and not for others.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm.runtime import cut, small_side
@@ -59,28 +63,57 @@ def _shapes(path: Column, max_depth: int) -> Column:
     return F.concat(F.transform(F.slice(parts, 1, max_depth), _shape), F.when(F.size(parts) > max_depth, F.array(F.lit("{**}"))).otherwise(F.array().cast("array<string>")))
 
 
-def templates(nodes: DataFrame, branch: int = BRANCH, z: float = Z) -> DataFrame:
-    """node and template of the rows (node, host, segs, n, labelled, good), one for each node."""
-    depth = nodes.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(depth):
-        prefix = F.array_join(F.slice("segs", 1, d), "/")
-        t = nodes.withColumns({"prefix": prefix, "seg": F.get("segs", F.lit(d))})
+#: Segments that are wildcards as a whole.
+WILD = ("{n}", "{u}", "{h}", "{*}")
+
+
+def _starred(d: int) -> Column:
+    """segs with a wildcard at place d."""
+    return F.concat(F.slice("segs", 1, d), F.array(F.lit("{*}")), F.slice("segs", d + 2, F.size("segs")))
+
+
+def _branched(nodes: DataFrame, branch: int) -> DataFrame:
+    """The nodes with the small ones of very many branches as one, from the root down."""
+    # the most nodes of a host that are as long or longer; a level with `branch` of them has nothing to join
+    sizes = nodes.groupBy("host", F.size("segs").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    longer = F.sum("n").over(Window.partitionBy("host").orderBy(F.desc("s")))
+    most = {r["s"]: r["n"] for r in sizes.select("s", longer.alias("n")).groupBy("s").agg(F.max("n").alias("n")).collect()}
+    for d in range(max(most, default=0)):
+        if max(n for s, n in most.items() if s > d) <= branch:
+            break
+        t = nodes.withColumns({"prefix": F.array_join(F.slice("segs", 1, d), "/"), "seg": F.get("segs", F.lit(d))})
         kids = t.filter(F.col("seg").isNotNull()).groupBy("host", "prefix", "seg").agg(F.sum("n").alias("kid"))
         of = kids.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("kids"), F.sum("kid").alias("all")).filter(F.col("kids") > branch)
-        wild = kids.join(of, ["host", "prefix"]).filter((F.col("kid") * branch < F.col("all")) & ~F.col("seg").contains("{")).select("host", "prefix", "seg", F.lit(True).alias("wild"))
-        t = t.join(wild, ["host", "prefix", "seg"], "left")
-        star = F.concat(F.slice("segs", 1, d), F.array(F.lit("{*}")), F.slice("segs", d + 2, MAX_DEPTH + 1))
-        nodes = cut(t.select("node", "host", F.when(F.col("wild"), star).otherwise(F.col("segs")).alias("segs"), "n", "labelled", "good"))
-    # the last literal segment, and the template with a wildcard in its place
-    at = F.expr("array_max(transform(segs, (x, i) -> if(contains(x, '{'), 0, i + 1)))")
-    general = F.when(F.coalesce(at, F.lit(0)) == 0, F.col("segs")).otherwise(F.expr("transform(segs, (x, i) -> if(i + 1 = __at, '{*}', x))"))
-    t = nodes.withColumn("__at", at).select("node", "host", "labelled", "good", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("own"), F.concat(F.lit("/"), F.array_join(general, "/")).alias("general"))
-    mine = t.groupBy("host", "general", "own").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
-    pool = mine.groupBy("host", "general").agg(F.try_divide(F.sum("g"), F.sum("l")).alias("p"))
+        wild = cut(kids.join(of, ["host", "prefix"]).filter((F.col("kid") * branch < F.col("all")) & ~F.col("seg").isin(*WILD)).select("host", "prefix", "seg", F.lit(True).alias("wild")))
+        if not wild.isEmpty():
+            t = t.join(wild, ["host", "prefix", "seg"], "left")
+            nodes = cut(t.select("node", "host", F.when(F.col("wild"), _starred(d)).otherwise(F.col("segs")).alias("segs"), "n", "labelled", "good"))
+    return nodes
+
+
+def _merged(nodes: DataFrame, d: int, z: float) -> DataFrame:
+    """The nodes, all longer than d, with a wildcard at d where their branch's label rate is like that of all that differ only there."""
+    t = nodes.withColumn("star", F.when(F.get("segs", F.lit(d)).isin(*WILD), F.col("segs")).otherwise(_starred(d)))
+    t = t.withColumns({"own": F.array_join("segs", "/"), "general": F.array_join("star", "/"), "mixed": F.get("segs", F.lit(d)).contains("{")})
+    mine = t.groupBy("host", "general", "own").agg(F.first("mixed").alias("mixed"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+    pool = mine.groupBy("host", "general").agg(F.try_divide(F.sum("g"), F.sum("l")).alias("p"), F.count(F.lit(1)).alias("branches"))
     mine = mine.join(pool, ["host", "general"])
     alike = (F.col("l") == 0) | (F.abs(F.col("g") / F.greatest(F.col("l"), F.lit(1e-9)) - F.col("p")) <= z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.greatest(F.col("l"), F.lit(1e-9))))
-    mine = mine.select("host", "general", "own", F.when(F.coalesce(alike, F.lit(True)), F.col("general")).otherwise(F.col("own")).alias("template"))
-    return t.join(mine, ["host", "general", "own"]).select("node", "host", "template", "labelled", "good")
+    mine = mine.select("host", "general", "own", (F.coalesce(alike, F.lit(True)) & (~F.col("mixed") | (F.col("branches") > 1))).alias("alike"))
+    return t.join(mine, ["host", "general", "own"]).select("node", "host", F.when(F.col("alike"), F.col("star")).otherwise(F.col("segs")).alias("segs"), "n", "labelled", "good")
+
+
+def templates(nodes: DataFrame, branch: int = BRANCH, z: float = Z) -> DataFrame:
+    """node and template of the rows (node, host, segs, n, labelled, good), one for each node."""
+    nodes = _branched(nodes, branch)
+    merged = nodes.filter(F.size("segs") == 0)
+    depth = nodes.agg(F.max(F.size("segs"))).first()[0] or 0
+    for d in reversed(range(depth)):  # a level only has the nodes that reach it
+        longer = nodes.filter(F.size("segs") == d + 1)
+        up = cut(_merged(longer if d + 1 == depth else up.unionByName(longer), d, z))
+    if depth:
+        merged = merged.unionByName(up)
+    return merged.select("node", "host", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), "labelled", "good")
 
 
 def judge(pages: DataFrame, labels: DataFrame, label_key: Column, id_col: str = "page_id", url: str = "url", rules=RULES, strength: float = STRENGTH, purity: float = PURITY) -> DataFrame:

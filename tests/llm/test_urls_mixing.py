@@ -37,6 +37,22 @@ def test_variable_segments_become_wildcards(spark):
     assert {x.template for x in judged(spark, rows).values()} == {"/{*}/{*}"}
 
 
+def test_segments_with_a_number_become_wildcards_too(spark):
+    slug = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}-shoes"
+    for many in (100, 25):  # by the branch rule, and by merging
+        rows = [(i, f"http://h.net/spam/{slug(i % many)}-{i}", "", "") for i in range(100)] + [(100 + i, f"http://h.net/news/{slug(i % many)}-{100 + i}", "", "") for i in range(100)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string")
+        known = spark.createDataFrame([(i, float(i >= 100)) for i in range(200)], "key long, good double")
+        r = {x.page_id: x for x in urls.judge(pages, known, F.regexp_extract("path", "([0-9]+)$", 1).cast("long")).collect()}
+        assert {x.page_id // 100: (x.template, x.verdict) for x in r.values()} == {0: ("/spam/{*}", "block"), 1: ("/news/{*}", "allow")} and len({x.template for x in r.values()}) == 2
+
+
+def test_branches_merge_at_every_level(spark):
+    rows = [(k * 20 + i, f"http://h.net/part{'abcd'[k % 4]}/{'spam' if k < 4 else 'news'}/{k * 20 + i}", "", "") for k in range(8) for i in range(20)]
+    r = judged(spark, rows, [(i, float(i >= 80)) for i in range(160)])
+    assert {x.template for x in r.values()} == {"/{*}/spam/{n}", "/{*}/news/{n}"}
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}
 
