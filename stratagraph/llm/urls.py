@@ -15,8 +15,11 @@ Defined results: a url that is null or has no `://` has empty host and path, whi
 its own; several labels of one key count as their mean; repeated rows are judged alike, each in a
 row of its own; an empty table gives an empty result; further columns are ignored.
 
-sql() leaves out of both rules all segments with a digit run in them and merges at the last literal segment only: it
-is the same for paths with one literal segment, like those of the given tables, and not for others.
+Paths are taken whole, so the tree is as deep as the longest path and takes two steps for each level.
+
+sql() reads MAX_DEPTH segments, leaves out of both rules all segments with a digit run in them and merges at the last
+literal segment only: it is the same for short paths with one literal segment, like those of the given tables, and not
+for others.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm.runtime import cut, small_side
 
+#: MAX_DEPTH is that of sql() only.
 MAX_DEPTH, BRANCH, Z = 6, 30, 1.96
 STRENGTH, PURITY = 20.0, 0.5
 #: (verdict, rule): a rule is a host and the start of a path.
@@ -58,9 +62,8 @@ def _shape(segment: Column) -> Column:
     return F.when(segment.rlike(UUID), F.lit("{u}")).when(segment.rlike(HEX) & segment.rlike("[0-9]"), F.lit("{h}")).otherwise(F.regexp_replace(segment, "[0-9]+", "{n}"))
 
 
-def _shapes(path: Column, max_depth: int) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    return F.concat(F.transform(F.slice(parts, 1, max_depth), _shape), F.when(F.size(parts) > max_depth, F.array(F.lit("{**}"))).otherwise(F.array().cast("array<string>")))
+def _shapes(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), _shape)
 
 
 #: Segments that are wildcards as a whole.
@@ -123,7 +126,7 @@ def judge(pages: DataFrame, labels: DataFrame, label_key: Column, id_col: str =
     """
     host, path = split_url(F.col("__url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).cast("string").alias("__url")).select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("segs", _shapes(F.col("path"), MAX_DEPTH)).withColumn("node", F.concat(F.col("host"), F.lit("/"), F.array_join("segs", "/"))).withColumn("__key", label_key)
+    rows = rows.withColumn("segs", _shapes(F.col("path"))).withColumn("node", F.concat(F.col("host"), F.lit("/"), F.array_join("segs", "/"))).withColumn("__key", label_key)
     known = labels.filter(F.col("key").isNotNull()).groupBy("key").agg(F.avg(F.col("good").cast("double")).alias("good"))
     rows = cut(rows.join(known, F.col("__key") == F.col("key"), "left").drop("key", "__key"))
     nodes = cut(rows.groupBy("node", "host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("good").cast("double").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("good")))

@@ -53,6 +53,12 @@ def test_branches_merge_at_every_level(spark):
     assert {x.template for x in r.values()} == {"/{*}/spam/{n}", "/{*}/news/{n}"}
 
 
+def test_branches_below_the_sixth_segment_are_apart(spark):
+    rows = [(i, f"http://h.net/y/2020/01/02/shop/x/{'spam' if i < 50 else 'news'}/{i}", "", "") for i in range(100)]
+    r = judged(spark, rows, [(i, float(i >= 50)) for i in range(100)])
+    assert r[0].template != r[99].template and (r[0].verdict, r[99].verdict) == ("block", "allow") and r[0].template.endswith("/spam/{n}")
+
+
 def test_no_pages(spark):
     assert judged(spark, []) == {}
 
