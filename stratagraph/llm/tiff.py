@@ -1,12 +1,14 @@
 """Media columns: TIFF files in binary columns, read to one row per page.
 
 The reader walks the chain of image directories of either byte order, decodes strips and tiles
-that are stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing (8, 16 and
-32 bits) and puts the samples of a page together, chunky or planar. The writer makes files of one
+that are stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing and the
+floating-point predictor (16 and 32 bits) and puts the samples of a page together, chunky or planar.
+Samples have 1, 2, 4, 8, 16 or 32 bits; those of less than 8 come out as a byte each. The writer makes files of one
 or more grey 8-bit pages; it exists to store payloads and for round trips.
 
 Defined results: null gives no page; bytes that aren't a readable TIFF give one row with `error`,
-and a bad page gives its row with `error` and ends the walk (directory loops too); repeated rows
+a bad page or one of an unsupported kind gives its row with `error` and the walk goes on with the
+next, a directory that can't be read or that comes again ends it; repeated rows
 each give their pages; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from stratagraph.llm.runtime import ship
 
 #: Fixed values of the TIFF 6.0 format: tags, field sizes, compression numbers.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
@@ -155,6 +157,16 @@ def _expand(data: bytes, compression: int, limit: int) -> bytes:
     raise TiffError(f"compression {compression} isn't supported")
 
 
+def _turn_bits(data: bytes) -> bytes:
+    return np.packbits(np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little")).tobytes()
+
+
+def _floats(raw: bytes, rows: int, w: int, chunky: int, size: int) -> np.ndarray:
+    """Samples whose rows have all first (most significant) bytes, then all second ones, as differences of bytes."""
+    sums = np.cumsum(np.frombuffer(raw, dtype=np.uint8).reshape(rows, w * size, chunky), axis=1, dtype=np.uint8)
+    return np.ascontiguousarray(np.moveaxis(sums.reshape(rows, size, w * chunky), 1, 2)).view(f">u{size}").reshape(rows, w, chunky)
+
+
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]], int]:
     try:
         (n,) = struct.unpack_from(f"{order}H", data, at)
@@ -179,13 +191,14 @@ def _page(data: bytes, f: dict[int, tuple[int, ...]], order: str) -> dict:
     one = lambda tag, default=None: f[tag][0] if f.get(tag) else default
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, compression, predictor, planar = set(f.get(BITS, (1,))), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not width or not height or len(bits) != 1 or (depth := bits.pop()) not in (8, 16, 32):
-        raise TiffError("no size, or samples that aren't all of 8, 16 or 32 bits")
-    if width * height * samples * depth // 8 > MAX_PAGE_BYTES:
+    if not width or not height or len(bits) != 1 or (depth := bits.pop()) not in (1, 2, 4, 8, 16, 32):
+        raise TiffError("no size, or samples that aren't all of 1, 2, 4, 8, 16 or 32 bits")
+    if width * height * samples * max(depth, 8) // 8 > MAX_PAGE_BYTES:
         raise TiffError("too large a page")
-    if predictor not in (1, 2):
+    if predictor not in (1, 2, 3) or predictor == 3 and depth < 16:
         raise TiffError(f"predictor {predictor} isn't supported")
-    kind = np.dtype(f"u{depth // 8}").newbyteorder(order)
+    kind = np.dtype(f"u{max(depth, 8) // 8}").newbyteorder(order)
+    turned = depth < 8 and one(FILL_ORDER, 1) == 2
     chunky = samples if planar == 1 else 1
     planes = 1 if planar == 1 else samples
     tiled = TILE_WIDTH in f
@@ -201,15 +214,25 @@ def _page(data: bytes, f: dict[int, tuple[int, ...]], order: str) -> dict:
         plane, rest = divmod(k, across * down)
         row, col = rest // across * h, rest % across * w
         rows = h if tiled else min(h, height - row)
-        size = rows * w * chunky * depth // 8
+        line = (w * chunky * depth + 7) // 8  # a row fills its last byte
+        size = rows * line
         if offsets[k] + counts[k] > len(data):
             raise TiffError("a strip or tile beyond the end")
-        raw = _expand(data[offsets[k] : offsets[k] + counts[k]], compression, size)
+        raw = data[offsets[k] : offsets[k] + counts[k]]
+        raw = _expand(_turn_bits(raw) if turned else raw, compression, size)
         if len(raw) < size:
             raise TiffError("a strip or tile that is too short")
-        block = np.frombuffer(raw[:size], dtype=kind).reshape(rows, w, chunky)
+        if depth < 8:
+            bits_ = np.unpackbits(np.frombuffer(raw[:size], dtype=np.uint8).reshape(rows, line), axis=1)[:, : w * chunky * depth]
+            block = np.packbits(bits_.reshape(rows, w, chunky, depth), axis=3)[..., 0] >> (8 - depth)
+        elif predictor == 3:
+            block = _floats(raw[:size], rows, w, chunky, depth // 8)
+        else:
+            block = np.frombuffer(raw[:size], dtype=kind).reshape(rows, w, chunky)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
+            if depth < 8:
+                block &= (1 << depth) - 1
         part = block[: height - row, : width - col]
         page[plane, row : row + part.shape[0], col : col + part.shape[1]] = part
     out = page[0] if planar == 1 else np.moveaxis(page[..., 0], 0, -1)
@@ -231,7 +254,11 @@ def decode(data: bytes) -> list[dict]:
                 raise TiffError("directories in a loop")
             seen.add(at)
             fields, at = _directory(data, at, order)
-            out.append(blank | {"page": len(out)} | _page(data, fields, order))
+            try:
+                page = _page(data, fields, order)
+            except TiffError as e:
+                page = {"error": str(e)}
+            out.append(blank | {"page": len(out)} | page)
     except TiffError as e:
         out.append(blank | {"page": len(out), "error": str(e)})
     return out

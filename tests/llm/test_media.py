@@ -110,3 +110,45 @@ def test_missing_and_repeated_segments(spark):
 
 def test_no_pages(spark):
     assert warc.read_archives(warc.stored_archives(spark.createDataFrame([], PAGES))).count() == 0
+
+
+def tiff_file(order, *pages):
+    """A file of pages (fields, the only strip), the fields as (tag: 16-bit value)."""
+    out, link = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 0)), 4
+    for fields, strip in pages:
+        at = len(out)
+        out += strip
+        struct.pack_into(f"{order}I", out, link, len(out))
+        entries = sorted((fields | {tiff.STRIP_OFFSETS: at, tiff.STRIP_COUNTS: len(strip), tiff.PLANAR: 1}).items())
+        out += struct.pack(f"{order}H", len(entries)) + b"".join(struct.pack(f"{order}HHIHH", tag, 3, 1, value, 0) for tag, value in entries)
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+def test_few_bits_and_pages_after_an_unsupported_one():
+    size = lambda w, h, bits, **more: {tiff.WIDTH: w, tiff.HEIGHT: h, tiff.BITS: bits} | {getattr(tiff, k): v for k, v in more.items()}
+    for order in "<>":
+        got = tiff.decode(tiff_file(
+            order,
+            (size(10, 2, 1, COMPRESSION=32773), tiff.pack_bits(bytes([0b10110000, 0b01000000, 0b00000001, 0b10000000]))),
+            (size(3, 2, 4), bytes([0x12, 0x30, 0xAB, 0xC0])),
+            (size(5, 1, 2, FILL_ORDER=2), bytes([0b11100100, 0b00000001])),
+            (size(4, 1, 8, COMPRESSION=7), b"abcd"),
+            (size(2, 1, 8), b"xy"),
+        ))
+        assert [p["page"] for p in got] == [0, 1, 2, 3, 4] and [bool(p["error"]) for p in got] == [False, False, False, True, False]
+        assert list(got[0]["data"]) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0] and got[0]["bits"] == 1
+        assert list(got[1]["data"]) == [1, 2, 3, 10, 11, 12] and got[4]["data"] == b"xy"
+        turned = [int(f"{b:08b}"[::-1], 2) for b in (0b11100100, 0b00000001)]
+        assert list(got[2]["data"]) == [turned[0] >> k & 3 for k in (6, 4, 2, 0)] + [turned[1] >> 6]
+
+
+def test_floating_point_predictor():
+    for order in "<>":
+        for samples in (1, 3):
+            x = np.random.default_rng(4).normal(size=(5, 7, samples)).astype("<f4")
+            planes = np.moveaxis(x.astype(">f4").view(np.uint8).reshape(5, 7 * samples, 4), 2, 1).reshape(5, 28, samples)
+            strip = np.diff(planes, axis=1, prepend=np.zeros((5, 1, samples), np.uint8)).astype(np.uint8).tobytes()
+            (page,) = tiff.decode(tiff_file(order, ({tiff.WIDTH: 7, tiff.HEIGHT: 5, tiff.BITS: 32, tiff.SAMPLES: samples, tiff.PREDICTOR: 3, tiff.SAMPLE_FORMAT: 3}, strip)))
+            assert page["error"] is None and page["data"] == x.tobytes()
