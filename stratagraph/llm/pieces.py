@@ -1,6 +1,6 @@
 """Sampled SentencePiece segmentations, and decoding that gives the text back.
 
-A text is cut before every space; each such chunk is a lattice of vocabulary pieces, with the byte
+A text is cut before every run of spaces, which no piece spans but at its start; each such chunk is a lattice of vocabulary pieces, with the byte
 pieces of a character where no piece covers it alone. Forward filtering sums the weights of all
 segmentations up to each place of a chunk; backward sampling then draws the last piece by its share
 of the sum, and so on to the start: an exact draw from all segmentations, with probability in
@@ -72,7 +72,7 @@ class Vocabulary:
         for rank, i in enumerate(usable):
             piece = model.id_to_piece(i).replace(SPACE, " ")
             self.strings[i] = piece.encode()
-            if piece and " " not in piece[1:]:  # chunks begin at every space
+            if piece and " " not in piece.lstrip(" "):  # chunks begin at every run of spaces
                 self.pieces[piece] = (i, -float(np.log(rank + rank_offset)))
         self.byte_score = -float(np.log(n + rank_offset))
         self.longest = max(map(len, self.pieces))
@@ -224,7 +224,8 @@ def encode(vocab: Vocabulary, keys: list[str], texts: list[str], alpha: float =
     n = len(code)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(rows), np.int64)
-    begins = code == 32  # a chunk begins at each space and at the start of each text
+    begins = code == 32  # a chunk begins at each run of spaces and at the start of each text
+    begins[1:] &= code[:-1] != 32
     begins[rows[:-1][np.diff(rows) > 0]] = True
     begin = np.flatnonzero(begins)
     length = np.diff(np.append(begin, n))

@@ -245,6 +245,28 @@ def test_segmentations_are_drawn_by_their_weights():
         assert abs(got[p] / n - share) < 5 * math.sqrt(share * (1 - share) / n) + 1e-4
 
 
+def test_runs_of_spaces_are_drawn_from_all_segmentations():
+    v, n = pieces.vocabulary(None), 40_000
+    ids, b = pieces.encode(v, [str(i) for i in range(n)], ["a    b" if i % 2 else "    " for i in range(n)], alpha=0.3)
+    for odd, text in ((1, "a    b"), (0, "    ")):
+        got = Counter(tuple(ids[b[i] : b[i + 1]].tolist()) for i in range(odd, n, 2))
+
+        def all_paths(rest):
+            if not rest:
+                yield (), 1.0
+            for k in range(1, len(rest) + 1):
+                if rest[:k] in v.pieces:
+                    i, s = v.pieces[rest[:k]]
+                    for p, w in all_paths(rest[k:]):
+                        yield (i, *p), w * math.exp(0.3 * s)
+
+        want = dict(all_paths(text))
+        assert len(want) >= 8 and set(got) <= set(want)
+        for p, w in want.items():
+            share = w / sum(want.values())
+            assert abs(got[p] / (n / 2) - share) < 5 * math.sqrt(share * (1 - share) / (n / 2)) + 1e-4
+
+
 @pytest.mark.parametrize("n", [0, 1, 7])
 def test_components(spark, n):
     from stratagraph.llm.components import components
