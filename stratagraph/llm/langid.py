@@ -3,17 +3,25 @@
 A word's features are its letters as a whole (the lexicon), prefixes and suffixes of one to four
 bytes and all its byte trigrams, hashed into one table of weights for each language. With the
 learned transition scores they make a linear chain over the words of a text that have letters;
-forward-backward gives each word's distribution over the languages. A text's language is the one
-with the largest expected share of its words, and that share is the score.
+forward-backward gives each word's distribution over the languages. label_words() emits these for
+code-switched text; a text's language is the one with the largest expected share of its words, and
+that share, to six places, is the score.
+
+Chains are cut into blocks of words, and all blocks run a word at a time together: first each
+block's messages as a matrix, which carries the state before the block to that behind it, then a
+vector through the matrices of a chain, then the words inside the blocks from what enters them. So
+a text of millions of words takes few steps more than a short one. Long texts are scored in parts,
+between words, and only the words' scores are held whole.
 
 The field is trained by AdaGrad on the likelihood of labelled documents: a sample of at most about
-`docs_per_lang` whole texts of each language, chosen by a hash of the id. Training chains are made
-of runs of words from different documents, so that transitions learn what switching costs.
+`docs_per_lang` whole texts of each language, chosen by a hash of id and text, equal rows once; the
+`max_langs` most frequent languages can be learned. Training chains are made of runs of words from
+different documents, so that transitions learn what switching costs.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every text
-if nothing is labelled; repeated rows are predicted alike, each in a row of its own; a null id is
-held out by its null remainder no more than others (false) but never trained on; an empty table
-gives an empty result; further columns are ignored.
+if nothing is labelled; ties go to the language first by code point; repeated rows are predicted
+alike, each in a row of its own; a null id is held out by its null remainder no more than others
+(false) but never trained on; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratagraph.llm import words as W
-from stratagraph.llm.runtime import ship, text_batches
+from stratagraph.llm.runtime import ship, text_batches, tidy
 
 TABLE_BITS = 17
 AFFIXES = 4
 #: The bound of the training sample, and how it is trained.
 DOCS_PER_LANG, CHAIN, RUN, EPOCHS, BATCH, RATE, DECAY, SEED = 250, 40, 14, 2, 1024, 0.25, 1e-6, 7
-#: Bytes of text whose chains are run together.
-GROUP_BYTES = 12 << 20
+#: The languages that are learned: the most frequent ones, at most so many.
+MAX_LANGS = 200
+#: Bytes of text that are scored at once and whose chains are run together, and words of a block.
+GROUP_BYTES, BLOCK = 1 << 20, 128
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -80,43 +91,84 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(np.stack(cols, axis=1) if len(s) else np.zeros((0, 2 * AFFIXES + 1), np.int32), grams, s, np.maximum(e - 2, s), count[firsts], s, e)
 
 
-def emissions(w: Words, theta: np.ndarray) -> np.ndarray:
-    """Scores of every word for each language."""
-    out = theta[w.ids[:, 0]].astype(np.float64)
+def emissions(w: Words, theta: np.ndarray, step: int = GROUP_BYTES) -> np.ndarray:
+    """Scores of every word for each language; trigrams are summed `step` of them at a time."""
+    out = theta[w.ids[:, 0]]
     for k in range(1, w.ids.shape[1]):
         out += theta[w.ids[:, k]]
-    sums = np.zeros((len(w.grams) + 1, theta.shape[1]))
-    np.cumsum(theta[w.grams], axis=0, out=sums[1:])
-    return out + sums[np.minimum(w.gram_to, len(w.grams))] - sums[np.minimum(w.gram_from, len(w.grams))]
+    for low in range(0, len(w.grams), step):
+        grams = w.grams[low : low + step]
+        sums = np.zeros((len(grams) + 1, theta.shape[1]))
+        np.cumsum(theta[grams], axis=0, out=sums[1:])
+        own = slice(int(np.searchsorted(w.gram_to, low, side="right")), int(np.searchsorted(w.gram_from, low + len(grams))))
+        out[own] += sums[np.clip(w.gram_to[own] - low, 0, len(grams))] - sums[np.clip(w.gram_from[own] - low, 0, len(grams))]
+    return out
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Each row of x scaled to the sum 1, in place."""
+    x /= x.reshape(len(x), -1).sum(axis=1).reshape(-1, *[1] * (x.ndim - 1))
+    return x
 
-def marginals(scores: np.ndarray, firsts: np.ndarray, trans: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Each word's distribution given its whole chain; all chains run a word at a time, the longest first."""
+
+def marginals(scores: np.ndarray, firsts: np.ndarray, trans: np.ndarray, prior: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Each word's distribution given its whole chain; chains run in blocks of words, all together."""
     n, k = scores.shape
-    size = np.diff(firsts)
-    order = np.argsort(-size, kind="stable")
-    begin, size = firsts[:-1][order], size[order]
-    emit = np.exp(scores - scores.max(axis=1, keepdims=True))
-    a, p = np.exp(trans), np.exp(prior)
-    longest = int(size[0]) if len(size) else 0
-    live = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # chains longer than t
-    alpha = np.empty((n, k))
-    now = np.zeros((0, k))
-    for t in range(longest):
-        at = begin[: live[t]] + t
-        now = emit[at] * (p if t == 0 else now[: live[t]] @ a)
-        now /= now.sum(axis=1, keepdims=True)
-        alpha[at] = now
-    back = np.ones((0, k))
-    for t in range(longest - 1, -1, -1):
-        at = begin[: live[t]] + t
-        if len(back) < live[t]:
-            back = np.concatenate([back, np.ones((live[t] - len(back), k))])
-        gamma = alpha[at] * back
-        alpha[at] = gamma / gamma.sum(axis=1, keepdims=True)
-        back = (emit[at] * back) @ a.T
-        back /= back.sum(axis=1, keepdims=True)
-    return alpha
+    kind = scores.dtype
+    emit = np.exp(scores - scores.max(axis=1, keepdims=True)) if n else scores
+    a, p = np.exp(trans).astype(kind), np.exp(prior).astype(kind)
+    of_chain = -(-np.diff(firsts) // block)  # blocks of each chain
+    tops = np.concatenate([[0], np.cumsum(of_chain)])
+    blocks = int(tops[-1])
+    chain = np.repeat(np.arange(len(of_chain)), of_chain)
+    nth = np.arange(blocks) - tops[chain]
+    begin = firsts[chain] + nth * block
+    length = np.minimum(firsts[chain + 1] - begin, block)
+    order = np.argsort(-length, kind="stable")
+    begin, length, opens = begin[order], length[order], np.flatnonzero(nth[order] == 0)
+    live = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), side="right")  # blocks longer than t
+
+    def step(now: np.ndarray, t: int) -> np.ndarray:
+        m = int(live[t])
+        out = (now[:m].reshape(-1, k) @ a).reshape(now[:m].shape)
+        if t == 0:
+            out[opens] = p
+        at = begin[:m] + t
+        out *= emit[at] if out.ndim == 2 else emit[at][:, None, :]
+        return _unit(out)
+
+    # what enters each block from before (ahead) and from behind, by the matrices of the blocks between
+    ahead, behind = np.full((blocks, k), 1 / k, dtype=kind), np.ones((blocks, k), dtype=kind)
+    long = np.flatnonzero(of_chain > 1)
+    if len(long):
+        through = np.broadcast_to(np.eye(k, dtype=kind), (blocks, k, k)).copy()
+        for t in range(len(live)):
+            through[: live[t]] = step(through, t)
+        place = np.empty(blocks, dtype=np.int64)
+        place[order] = np.arange(blocks)
+        long = long[np.argsort(-of_chain[long], kind="stable")]
+        has = np.searchsorted(-of_chain[long], -np.arange(1, int(of_chain[long[0]]) + 1), side="right")
+        now = np.full((len(long), k), 1 / k, dtype=kind)
+        for r in range(len(has) - 1):
+            at = place[tops[long[: has[r + 1]]] + r]
+            now = _unit(np.matmul(now[: has[r + 1], None, :], through[at])[:, 0])
+            ahead[place[tops[long[: has[r + 1]]] + r + 1]] = now
+        now = np.ones((len(long), k), dtype=kind)
+        for r in range(len(has) - 1, 0, -1):
+            m = has[r]
+            now[:m] = _unit(np.matmul(through[place[tops[long[:m]] + r]], now[:m, :, None])[:, :, 0])
+            behind[place[tops[long[:m]] + r - 1]] = now[:m]
+        del through
+    out = np.empty((n, k), dtype=kind)
+    for t in range(len(live)):
+        ahead = step(ahead, t)
+        out[begin[: live[t]] + t] = ahead
+    for t in range(len(live) - 1, -1, -1):
+        m = int(live[t])
+        at = begin[:m] + t
+        out[at] = _unit(out[at] * behind[:m])
+        behind[:m] = _unit((emit[at] * behind[:m]) @ a.T)
+    return out
 
 
 @dataclass
@@ -126,21 +178,41 @@ class Model:
     trans: np.ndarray
     prior: np.ndarray
 
-    def label(self, text: str) -> list[tuple[str, str, float]]:
-        """Each word with letters, its most probable language and that probability."""
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        w = features(raw, np.array([0, len(raw)]))
-        g = marginals(emissions(w, self.theta), w.firsts, self.trans, self.prior)
-        return [(raw[s:e].tobytes().decode("utf-8", "replace"), self.langs[int(p.argmax())], float(p.max())) for s, e, p in zip(w.starts, w.ends, g)]
+    def scores(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the words of some rows and where the rows begin; a single long row goes in parts, between words."""
+        cuts = [0]
+        while len(offsets) == 2 and len(raw) - cuts[-1] > 2 * GROUP_BYTES:
+            gap = np.flatnonzero(W.SPACE[raw[cuts[-1] + GROUP_BYTES : cuts[-1] + 2 * GROUP_BYTES]])
+            if not len(gap):  # a word longer than that stays whole
+                far = np.flatnonzero(W.SPACE[raw[cuts[-1] + 2 * GROUP_BYTES :]])
+                if not len(far):
+                    break
+                gap = far + GROUP_BYTES
+            cuts.append(cuts[-1] + GROUP_BYTES + int(gap[0]))
+        if len(cuts) == 1:
+            w = features(raw, offsets)
+            return emissions(w, self.theta), w.firsts
+        parts = [emissions(features(part, np.array([0, len(part)])), self.theta) for part in np.split(raw, cuts[1:])]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
+
+    def label(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+        """The words with letters of some rows, and each one's distribution over the languages."""
+        w = features(raw, offsets)
+        return w, marginals(emissions(w, self.theta), w.firsts, self.trans, self.prior)
 
     def shares(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """For each row of the parts (bytes, offsets) the languages' expected shares of its words; 0 if it has none."""
-        found = [(emissions(w, self.theta), w.firsts) for w in (features(raw, offsets) for raw, offsets in parts)]
+        found = [self.scores(raw, offsets) for raw, offsets in parts]
         sizes = np.concatenate([np.diff(f) for _, f in found])
         firsts = np.concatenate([[0], np.cumsum(sizes)])
-        g = marginals(np.concatenate([s for s, _ in found]), firsts, self.trans, self.prior)
-        sums = np.concatenate([np.zeros((1, g.shape[1])), np.cumsum(g, axis=0)])
-        return (sums[firsts[1:]] - sums[firsts[:-1]]) / np.maximum(sizes, 1)[:, None]
+        scores = np.concatenate([s for s, _ in found])
+        del found
+        g = marginals(scores, firsts, self.trans, self.prior)
+        out = np.zeros((len(sizes), g.shape[1]))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(g, firsts[some], axis=0, dtype=np.float64) / sizes[some, None]
+        return out
 
 
 def _chains(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -219,58 +291,85 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model | None:
-    """Trains on a sample, bounded by docs_per_lang, of the labelled documents that aren't held out."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+    """Trains on a sample, bounded by docs_per_lang and max_langs, of the labelled documents that aren't held out."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    # a hash threshold for each language takes about as many as asked for; ids are read for it, no texts
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
+    # a hash threshold for each language takes about as many as asked for
+    counts = rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(max_langs).collect()
     if not counts:
         return None
-    share = F.create_map(*(x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(docs_per_lang / n))))
-    draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(F.col("t").isNotNull()).filter(draw < share[F.col("l")]).toPandas()
+    share = F.create_map(*(x for r in sorted(counts) for x in (F.lit(r["l"]), F.lit(docs_per_lang / r["count"]))))
+    draw = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.filter(F.col("t").isNotNull() & (draw < F.coalesce(share[F.col("l")], F.lit(0.0)))).distinct().toPandas()
     sample = sample.sort_values(["l", "i", "t"])
     return train(sample["t"].tolist(), sample["l"].tolist()) if len(sample) else None
 
 
+def _known(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each row has a letter."""
+    letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw], dtype=np.int64)])[offsets]
+    out = letters[1:] > letters[:-1]
+    for k in np.flatnonzero(~out):
+        out[k] = any(map(str.isalpha, raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, lang_pred and score of every whole text; one pass, no shuffle."""
+    """id, lang_pred and score of every whole text; one pass, no shuffle. The id may be a struct of a whole row."""
     ship(docs)
     slim = docs.select(F.col(id_col), F.col(text).cast("string").alias("__t"))
-    schema = f"`{id_col}` {slim.schema[0].dataType.simpleString()}, lang_pred string, score double"
     if model is None:
         return slim.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([slim.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
+        names = pa.array([*model.langs, "und"], pa.string())
         for batch in batches:
-            pred, score = [], []
+            pred, score = [np.zeros(0, np.int64)], [np.zeros(0)]
             group: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush():
                 if not group:
                     return
                 shares = model.shares(group)
-                best = shares.argmax(axis=1)
-                row = 0
-                for raw, offsets in group:
-                    ascii_letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw])])[offsets]
-                    for k in range(len(offsets) - 1):
-                        plain = ascii_letters[k + 1] > ascii_letters[k]
-                        known = plain or any(map(str.isalpha, raw[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")))
-                        pred.append(model.langs[best[row]] if known else "und")
-                        score.append(min(1.0, float(shares[row, best[row]])) if known else 0.0)
-                        row += 1
+                known = np.concatenate([_known(*part) for part in group])
+                best = shares.round(6).argmax(axis=1)
+                pred.append(np.where(known, best, len(model.langs)))
+                score.append(np.where(known, np.minimum(shares[np.arange(len(best)), best].round(6), 1.0), 0.0))
                 group.clear()
 
-            for _, raw, offsets in text_batches(batch, "__t"):
+            for _, raw, offsets in text_batches(batch, "__t", GROUP_BYTES // 4):
                 group.append((raw, offsets))
                 if sum(len(r) for r, _ in group) >= GROUP_BYTES:
                     flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(np.concatenate(pred))), pa.array(np.concatenate(score))], [id_col, "lang_pred", "score"])
+            tidy()
+
+    return slim.mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id and words, an array of (word, lang, score) of the words with letters in their order; null text: empty."""
+    ship(docs)
+    slim = docs.select(F.col(id_col), F.col(text).cast("string").alias("__t"))
+    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([slim.schema[0], T.StructField("words", T.ArrayType(word))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        names = pa.array(model.langs, pa.string())
+        for batch in batches:
+            for k, raw, offsets in text_batches(batch, "__t", GROUP_BYTES):
+                w, g = model.label(raw, offsets)
+                words = pa.array([raw[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(w.starts, w.ends)], pa.string())
+                rows = pa.StructArray.from_arrays([words, names.take(pa.array(g.argmax(axis=1))), pa.array(g.max(axis=1).astype(np.float64).round(6))], ["word", "lang", "score"])
+                lists = pa.ListArray.from_arrays(pa.array(w.firsts, pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(offsets) - 1), lists], [id_col, "words"])
 
     return slim.mapInArrow(run, schema)
 

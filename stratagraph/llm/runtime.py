@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -41,6 +42,13 @@ def ship(df: DataFrame) -> None:
     context._stratagraph_shipped = True
 
 
+def tidy() -> None:
+    """Gives freed memory of a Python worker back to the system; workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: the lineage ends there, and lost executors lose nothing.
 

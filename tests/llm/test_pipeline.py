@@ -6,6 +6,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -32,7 +33,21 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0)] and kept.columns == docs.columns
 
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_clashing_columns_and_empty_tables(spark):
+    """Columns named like the stages' own, in every stage, with null, empty, repeated and long rows."""
+    names = ["copies", "__row", "row", "n", "m", "id", "key", "host", "section", "class_id", "score", "lang_pred", "kept", "size", "bucket", "ids", "f", "y"]
+    schema = COLUMNS + "".join(f", `{c}` string" for c in names)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs]
+    rows += [rows[0], (None, rows[1][1], None, None, None), (rows[2][0], "12 !! 34", "en", "s", 1), (None, None, None, None, None), (7, "", "en", "s", 0), (8, " ".join(r[1] for r in rows[:20]), "en", "s", 1)]
+    for given in (spark.createDataFrame([(*r, *names) for r in rows], schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, given, DATA)
+            assert got.columns == given.columns, name
+            assert all(list(r)[5:] == names for r in got.collect())
+        got = corpus_pipeline.STAGES[-1][1](spark, given, DATA).collect()
+        assert len(got) == given.count() and all(r.lossless and r.n_pieces == len(r.ids) for r in got)
 
 
 def prose(k, n=60):

@@ -183,10 +183,20 @@ def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     firsts, trans, prior = np.array([0, 3, 3, 8, 9]), rng.normal(size=(3, 3)), rng.normal(size=3)
     scores = rng.normal(size=(9, 3)) * 2
-    got = langid.marginals(scores, firsts, trans, prior)
-    for a, b in zip(firsts[:-1], firsts[1:]):
-        if b > a:
-            assert np.allclose(got[a:b], brute_marginals(scores[a:b], trans, prior))
+    for block in (1, 2, 3, 128):
+        got = langid.marginals(scores, firsts, trans, prior, block)
+        for a, b in zip(firsts[:-1], firsts[1:]):
+            if b > a:
+                assert np.allclose(got[a:b], brute_marginals(scores[a:b], trans, prior))
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    rng = random.Random(8)
+    model = langid.train([tongue(rng, 40, ["the", "ing"]), tongue(rng, 40, ["eau", "que"])], ["aa", "bb"])
+    text = tongue(rng, 500, ["the", "ing", "eau"]) + " " + "x" * 700 + " " + tongue(rng, 300, ["que", "ère"])
+    whole = model.shares([raw([text])])
+    monkeypatch.setattr(langid, "GROUP_BYTES", 100)
+    assert np.allclose(model.shares([raw([text])]), whole, atol=1e-5)
 
 
 def tongue(rng, n, syllables):
@@ -205,8 +215,11 @@ def test_languages(spark):
     assert held and all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") and 0.5 <= r.score <= 1 for r in held)
     assert [by[i].lang_pred for i in (900, 901, 902, 904)] == ["und", "und", "und", "aa"] and by[903].lang_pred != "und" and by[900].score == 0.0
     model = langid.fit(frame(spark, rows))
-    labels = [x[1] for x in model.label("the shing whing theing eauque ouère queou eauou")]
-    assert labels[:3] == ["aa"] * 3 and labels[-3:] == ["bb"] * 3
+    mixed = [(1, "the shing 12 whing theing eauque ouère queou eauou"), (None, None), (2, ""), (3, "12 3"), (1, "the")]
+    labels = langid.label_words(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
+    first = [w.lang for w in next(r.words for r in labels if r.doc_id == 1 and len(r.words) > 1)]
+    assert len(labels) == 5 and first[:3] == ["aa"] * 3 and first[-3:] == ["bb"] * 3 and len(first) == 8
+    assert sorted(len(r.words) for r in labels) == [0, 0, 0, 1, 8]
     assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "abc", None, "s")])).collect()} == {"und"}
     assert langid.identify(frame(spark, [])).count() == 0
 
