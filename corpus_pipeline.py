@@ -20,55 +20,77 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows with a number each, `__row`, in a written table: ids may be null or repeat, with other texts."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    """(row, n, and the columns of documents) in a written table: whole rows as structs, so that no column of theirs
+    clashes with an operator's, and a number each, since ids may be null or repeat, with other texts."""
+    whole = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n"))
+    return cut(whole).select("row", "n", *(f"row.{c}" for c in ("doc_id", "text", "lang", "source")))
 
 
 def _rows_of(rows: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
-    """The numbered rows that are in `chosen` (__row, copies): as they are, or so many times.
+    """The numbered rows that are in `chosen` (n, copies): as they are, or so many times.
 
     Only numbers are in `chosen`; it is broadcast if a count shows it to be small.
     """
-    chosen = small_side(cut(chosen.select(F.col("__row").alias("__r"), *(["copies"] if copies else []))))
-    out = rows.join(chosen, F.col("__row") == F.col("__r"), "inner")
+    chosen = small_side(cut(chosen.select(F.col("n").alias("m"), *(["copies"] if copies else []))))
+    out = rows.select("row", "n").join(chosen, F.col("n") == F.col("m"), "inner")
     if copies:
-        out = out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select([c for c in rows.columns if c != "__row"])
+        out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without words, and those in which no language has half of the words, go."""
-    rows = _numbered(docs)
-    found = langid.predict(rows, langid.fit(rows), id_col="__row")
-    return _rows_of(rows, found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)))
+    """Texts without words, and those in which no language has half of the words, go; rows are judged where they are read.
+
+    Null and empty texts go; repeated rows and ids are judged row by row; long texts count whole; a share of
+    exactly one half stays; an empty table gives an empty one; any further columns, whatever their names, are carried.
+    """
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    found = langid.predict(whole, langid.fit(docs), id_col="row")
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior of good quality is below one half go."""
+    """Documents whose posterior of good quality is below one half go.
+
+    A null text has the evidence of an empty one; a null id has no label and no page; repeated rows and ids are
+    judged row by row; a posterior of exactly one half stays; empty tables and further columns as above.
+    """
     rows = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     sites = quality.page_sites(spark.read.parquet(f"{sf_dir}/pages.parquet").select("url"))
-    return _rows_of(rows, quality.classify(rows, labels, sites, carry=("__row",)).filter("kept"))
+    return _rows_of(rows, quality.classify(rows.drop("row"), labels, sites, carry=("n",)).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates one row stays: the one with the least id, then by its text; null ids come last."""
+    """Of each class of near-duplicates one row stays: the one with the least id, then by its text; null ids come last.
+
+    Texts without words are classes of their own and all stay; of repeated rows one stays; long texts count
+    whole; empty tables and further columns as above.
+    """
     rows = _numbered(docs)
-    found = neardup.classes(rows, id_col="__row").select(F.col("doc_id").alias("__r"), "class_id")
-    ids = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "__row").alias("place"))
-    least = found.join(ids, F.col("__r") == F.col("__row")).groupBy("class_id").agg(F.min("place").alias("place"))
-    return _rows_of(rows, least.select("place.__row"))
+    found = neardup.classes(rows.select("n", "text"), id_col="n").select(F.col("doc_id").alias("m"), "class_id")
+    ids = rows.select("n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "n").alias("place"))
+    least = found.join(ids, F.col("m") == F.col("n")).groupBy("class_id").agg(F.min("place").alias("place"))
+    return _rows_of(rows, least.select("place.n"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Null texts are never taken; a null source is a source; of rows with equal keys each is taken or not by
+    itself; empty tables and further columns as above.
+    """
     rows = _numbered(docs)
-    mixed = mixing.mix(rows, carry=("__row",)).filter("taken > 0")
-    return _rows_of(rows, mixed.select("__row", F.expr("taken div size").alias("copies")), copies=True)
+    mixed = mixing.mix(rows.drop("row"), carry=("n",)).filter("taken > 0")
+    return _rows_of(rows, mixed.select("n", F.expr("taken div size").alias("copies")), copies=True)
 
 
 def sentencepiece_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations, and that decoding gives each text back."""
+    """Sampled segmentations, their piece ids, and that decoding gives each text back.
+
+    Null and empty texts have no pieces; rows with equal ids and texts get equal pieces; an empty table gives
+    an empty one; further columns are left out.
+    """
     return segmented(docs)
 
 
