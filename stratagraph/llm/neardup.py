@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
 from stratagraph.llm.components import components
-from stratagraph.llm.runtime import cut, ship, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches, tidy
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
@@ -88,6 +88,7 @@ def sketch(texts: DataFrame) -> np.ndarray:
                 at, _ = _distinct(hashes, rows)
                 total += np.bincount(hashes[at] >> np.uint32(32 - SKETCH_BITS), minlength=len(total))
                 n += int((sizes > 0).sum())
+            tidy()
         if n:
             blocks = total.reshape(-1, SKETCH_BLOCK)
             data = [zlib.compress(b.tobytes(), 1) for b in blocks]
@@ -192,6 +193,7 @@ def signatures(rows: DataFrame, idf) -> DataFrame:
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros((0, BANDS), np.int64)
             w = np.concatenate(words) if words else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.int64()), pa.array(np.concatenate(rare) if rare else np.zeros(0)), *(pa.array(np.ascontiguousarray(k[:, i])) for i in range(BANDS))], ["id", "key", "n_words", "rarity", *names])
+            tidy()
 
     return rows.mapInArrow(run, f"id {kind}, key binary, n_words long, rarity double, " + ", ".join(f"{b} long" for b in names))
 
@@ -206,6 +208,7 @@ def _shingle_lists(rows: DataFrame) -> DataFrame:
                 bounds = np.searchsorted(of, np.arange(len(sizes) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(sizes)), lists], ["tid", "sh"])
+            tidy()
 
     return rows.mapInArrow(run, "tid long, sh array<int>")
 
@@ -222,6 +225,7 @@ def _verified(pairs: DataFrame, lists: DataFrame, idf, threshold: float) -> Data
             xo, yo = (c.offsets.to_numpy() for c in (x, y))
             sim = np.array([similarity(xs[xo[k] : xo[k + 1]], ys[yo[k] : yo[k + 1]], table) for k in range(len(batch))], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim)], ["a", "b", "sim"]).filter(pa.array(sim >= threshold))
+            tidy()
 
     return both.mapInArrow(run, "a long, b long, sim double")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stratagraph.llm import words as W
-from stratagraph.llm.runtime import cut, ship, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches, tidy
 
 DIMS = 4
 #: Share of rows in the concentrated half, steps, and rows a group needs for an estimate of its own.
@@ -104,6 +104,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             parts = [text_counts(raw, offsets) for _, raw, offsets in text_batches(batch, "__text")]
             cols = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for c in COUNTS]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *cols], [*keep, *COUNTS])
+            tidy()
 
     return slim.mapInArrow(run, schema)
 

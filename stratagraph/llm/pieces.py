@@ -1,7 +1,7 @@
 """Sampled SentencePiece segmentations, and decoding that gives the text back.
 
-A text is cut before every run of spaces, which no piece spans but at its start; each such chunk is a lattice of vocabulary pieces, with the byte
-pieces of a character where no piece covers it alone. Forward filtering sums the weights of all
+A text is cut before every run of spaces, which no piece spans but at its start; each such chunk is
+a lattice of vocabulary pieces, with the byte pieces of a character where no piece covers it alone. Forward filtering sums the weights of all
 segmentations up to each place of a chunk; backward sampling then draws the last piece by its share
 of the sum, and so on to the start: an exact draw from all segmentations, with probability in
 proportion to the product of the pieces' weights. A piece weighs the alpha-th power of its
@@ -9,8 +9,9 @@ probability. Draws come from a hash of seed, row key and the place in the text,
 segmentation depends on nothing else, and reruns agree.
 
 The filtering of a chunk depends on its string only, so it is done once for each distinct chunk of
-a batch, for all of them together by their places; then all chunks are sampled together, a piece of
-each at a time. Shares are rounded to 32 bits, so that no draw depends on what else is in a batch.
+a batch, for all of them together by their places, and a worker keeps the lattices that it met first,
+up to BOOK_CHARS; then all chunks are sampled together, a piece of each at a time. Shares are rounded
+to 32 bits, so that no draw depends on what else is in a batch or what a worker has kept.
 
 The model's file has merge ranks, not probabilities: a piece of rank r gets one in proportion to
 1 / (r + 100), byte pieces as the rarest.
@@ -34,16 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import ship
-
+from stratagraph.llm.runtime import ship, tidy
 from stratagraph.llm.words import mix, prefix_hash, slice_hash
 
 SPACE = "▁"
 #: Where the model lies if no path is given: a file that the installed package of public tokenizers names.
 MODEL = "piece_bpe_32k.model"
 RANK_OFFSET, ALPHA, SEED = 100.0, 0.5, 20
-#: Bytes of text that are encoded together; a longer text is done alone.
-BATCH_BYTES = 1 << 19
+#: Bytes of text that are encoded together; a longer text is done alone. Characters of chunks whose lattices a worker keeps.
+BATCH_BYTES, BOOK_CHARS = 1 << 19, 1 << 20
 
 
 def model_path(path: str | None = None) -> str:
@@ -83,18 +83,27 @@ class Vocabulary:
         self.hashes = hashes[order]
         self.ids = np.array([i for i, _ in self.pieces.values()])[order]
         self.scores = np.array([s for _, s in self.pieces.values()])[order]
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[hashes >> np.uint64(44)] = True
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each in ids and scores, or -1."""
-        out = np.full(len(hashes), -1)
-        at = np.flatnonzero(self.maybe[hashes >> np.uint64(44)])
-        place = np.searchsorted(self.hashes, hashes[at])
-        place[place == len(self.hashes)] = 0
-        hit = self.hashes[place] == hashes[at]
-        out[at[hit]] = place[hit]
-        return out
+        self.books: dict[float, Book] = {}
+        # hashes with equal first 20 bits stand together, from `start` of these
+        self.start = np.searchsorted(self.hashes >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and their places in ids and scores."""
+        top = (hashes >> np.uint64(44)).astype(np.int32)
+        at = np.flatnonzero(self.start[top] < self.start[top + 1])
+        place, end = self.start[top[at]], self.start[top[at] + 1]
+        found, places = [], []
+        while len(at):
+            hit = self.hashes[place] == hashes[at]
+            found.append(at[hit])
+            places.append(place[hit])
+            on = ~hit & (place + 1 < end)
+            at, place, end = at[on], place[on] + 1, end[on]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, places = np.concatenate(found), np.concatenate(places)
+        order = np.argsort(found, kind="stable") if len(found) > 1 else slice(None)
+        return found[order], places[order]
 
 
 @cache
@@ -103,89 +112,105 @@ def vocabulary(path: str | None) -> Vocabulary:
 
 
 class Lattices:
-    """The filtered lattices of a batch's distinct chunks, in flat arrays.
+    """Filtered lattices of distinct chunks, in flat arrays.
 
     A state is a place in a chunk after its start; an edge is a piece that ends there. Edges are in
-    order of their end states, and `key` has for each the end state (high 32 bits) and the cumulated
-    share of the state's sum up to that edge (low 32 bits).
+    order of their end states, `first` has where a state's begin, `part` the cumulated share of the
+    state's sum up to each, `to` the state before each, or -1, and `last` the end state of each chunk.
     """
 
-    def __init__(self, vocab: Vocabulary, alpha: float, code: np.ndarray, begin: np.ndarray, length: np.ndarray):
+    def __init__(self, first: np.ndarray, part: np.ndarray, piece: np.ndarray, to: np.ndarray, last: np.ndarray):
+        self.first, self.part, self.piece, self.to, self.last = first, part, piece, to, last
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, alpha: float, code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Lattices:
         """Chunks as slices of the code points `code`."""
         base = np.concatenate([[0], np.cumsum(length)])
         n = int(base[-1])
         chunk = np.repeat(np.arange(len(length)), length)
-        char = code[np.arange(n) - base[chunk] + begin[chunk]].astype(np.int64)
         place = np.arange(n) - base[chunk]  # of a state (or its last character) in its chunk
+        char = code[place + begin[chunk]].astype(np.int64)
         left = length[chunk] - place
-        self.last = base[1:] - 1
 
         sums = prefix_hash(char)
         starts, sizes, ids, weights = [], [], [], []
         alone = np.zeros(n, dtype=bool)
+        at = np.arange(n)
         for size in range(1, vocab.longest + 1):
-            at = np.flatnonzero(left >= size)
+            at = at[left[at] >= size]
             if not len(at):
                 break
-            found = vocab.find(slice_hash(sums, at, at + size))
-            hit = found >= 0
-            at, found = at[hit], found[hit]
+            hit, found = vocab.find(slice_hash(sums, at, at + size))
             if size == 1:
-                alone[at] = True
-            starts.append(at)
-            sizes.append(np.full(len(at), size))
+                alone[at[hit]] = True
+            starts.append(at[hit])
+            sizes.append(size)
             ids.append(vocab.ids[found])
             weights.append(alpha * vocab.scores[found])
         bare = np.flatnonzero(~alone)  # characters that only bytes spell; -1 and lower stand for them
         starts.append(bare)
-        sizes.append(np.ones(len(bare), dtype=np.int64))
+        sizes.append(1)
         ids.append(-1 - char[bare])
         weights.append(alpha * vocab.byte_score * utf8_length(char[bare]))
-        start, end = np.concatenate(starts), np.concatenate(starts) + np.concatenate(sizes) - 1
-        piece, weight = np.concatenate(ids), np.concatenate(weights)
 
-        order = np.argsort(end, kind="stable")
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        self.first = np.searchsorted(end, np.arange(n + 1))
+        # edges to their places by end state, sizes in order
+        ends = [x + k - 1 for x, k in zip(starts, sizes)]
+        counts = np.zeros(n, dtype=np.int64)
+        for x in ends:
+            counts[x] += 1
+        first = np.concatenate([[0], np.cumsum(counts)])
+        total = int(first[-1])
+        free = first[:-1].copy()
+        start, piece, weight = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+        for x, e, i, w in zip(starts, ends, ids, weights):
+            to = free[e]
+            start[to], piece[to], weight[to] = x, i, w
+            free[e] += 1
+        del starts, ends, ids, weights
+        opens = place[start] == 0
         log_sum = np.zeros(n + 1)  # the last is that of all starts
-        before = np.where(place[start] == 0, n, start - 1)
-        share = np.empty(len(end))
-        by_place = np.argsort(place, kind="stable")  # states
-        bounds = np.searchsorted(place[by_place], np.arange(int(length.max(initial=0)) + 1))
+        before = np.where(opens, n, start - 1)
+        share = np.empty(total)
+        by_place = np.argsort(place.astype(np.int32), kind="stable")  # states
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(place))]) if n else np.zeros(1, np.int64)
         for low, high in zip(bounds[:-1], bounds[1:]):
             state = by_place[low:high]
-            counts = self.first[state + 1] - self.first[state]
-            tops = np.concatenate([[0], np.cumsum(counts)])
-            edges = np.arange(tops[-1]) + np.repeat(self.first[state] - tops[:-1], counts)
+            many = counts[state]
+            tops = np.cumsum(many) - many
+            edges = np.arange(int(many.sum())) + np.repeat(first[state] - tops, many)
             x = log_sum[before[edges]] + weight[edges]
-            most = np.maximum.reduceat(x, tops[:-1])
-            x = np.exp(x - np.repeat(most, counts))
-            total = np.add.reduceat(x, tops[:-1])
-            log_sum[state] = most + np.log(total)
-            share[edges] = x / np.repeat(total, counts)
-        rank = np.arange(len(end)) - self.first[end]
-        sum_ = share.copy()
-        for r in range(1, int(rank.max(initial=0)) + 1):
-            at = np.flatnonzero(rank == r)
-            sum_[at] += sum_[at - 1]
-        part = np.minimum(np.floor(sum_ * 2.0**32), 2.0**32 - 1).astype(np.uint64)
-        if len(end):
-            part[self.first[1:] - 1] = np.uint64(2**32 - 1)
-        self.key = (end.astype(np.uint64) << np.uint64(32)) | part
-        self.piece = piece
-        self.to = np.where(place[start] == 0, -1, start - 1)
+            most = np.maximum.reduceat(x, tops)
+            x = np.exp(x - np.repeat(most, many))
+            summed = np.add.reduceat(x, tops)
+            log_sum[state] = most + np.log(summed)
+            share[edges] = x / np.repeat(summed, many)
+        for r in range(1, int(counts.max(initial=0))):
+            at = first[:-1][counts > r] + r
+            share[at] += share[at - 1]
+        part = np.minimum(np.floor(share * 2.0**32), 2.0**32 - 1).astype(np.uint32)
+        if total:
+            part[first[1:] - 1] = np.uint32(2**32 - 1)
+        return cls(first.astype(np.int32), part, piece.astype(np.int32), np.where(opens, -1, start - 1).astype(np.int32), (base[1:] - 1).astype(np.int32))
+
+    def plus(self, other: Lattices) -> Lattices:
+        states, edges = len(self.first) - 1, len(self.part)
+        return Lattices(
+            np.concatenate([self.first, other.first[1:] + np.int32(edges)]), np.concatenate([self.part, other.part]), np.concatenate([self.piece, other.piece]),
+            np.concatenate([self.to, np.where(other.to < 0, other.to, other.to + np.int32(states))]), np.concatenate([self.last, other.last + np.int32(states)]),
+        )
 
     def sample(self, chunks: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all the chunks in order, and the number of each one's. draws: a 64-bit number for each."""
         state, at, h, found = self.last[chunks], np.arange(len(chunks)), draws, []
         counts = np.zeros(len(chunks), dtype=np.int64)
-        single = np.diff(self.first) == 1
         while len(at):
             edge = self.first[state]
             h = mix(h + np.uint64(0x9E3779B97F4A7C15))
-            many = np.flatnonzero(~single[state])
-            if len(many):
-                edge[many] = np.searchsorted(self.key, (state[many].astype(np.uint64) << np.uint64(32)) | (h[many] >> np.uint64(32)))
+            u = (h >> np.uint64(32)).astype(np.uint32)
+            low = np.flatnonzero(self.part[edge] < u)
+            while len(low):
+                edge[low] += 1
+                low = low[self.part[edge[low]] < u[low]]
             found.append((at, self.piece[edge]))
             counts[at] += 1
             state = self.to[edge]
@@ -198,6 +223,32 @@ class Lattices:
         return out, counts
 
 
+class Book:
+    """The lattices that a worker keeps, by the hashes of their chunks."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int32)
+        self.lattices = Lattices(np.zeros(1, np.int32), np.zeros(0, np.uint32), none, none, none)
+        self.hashes, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The chunks of the hashes, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.index[place], -1)
+
+    def add(self, hashes: np.ndarray, lattices: Lattices) -> bool:
+        """Whether there was room for them."""
+        if len(self.lattices.first) + len(lattices.first) > BOOK_CHARS:
+            return False
+        index = np.concatenate([self.index, np.arange(len(hashes)) + len(self.lattices.last)])
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.index, self.lattices = both[order], index[order], self.lattices.plus(lattices)
+        return True
+
+
 def utf8_length(code: np.ndarray) -> np.ndarray:
     return 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
 
@@ -217,6 +268,31 @@ def spell(pieces: np.ndarray, byte_ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, sizes
 
 
+def _sampled(vocab: Vocabulary, alpha: float, code: np.ndarray, begin: np.ndarray, length: np.ndarray, hashes: np.ndarray, same: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all chunks in order, and the number of each one's: of distinct chunks, of which each chunk is the one `same` says."""
+    book = vocab.books.setdefault(alpha, Book())
+    known = book.find(hashes)
+    new = np.flatnonzero(known < 0)
+    fresh = Lattices.of(vocab, alpha, code, begin[new], length[new])
+    if len(new) and book.add(hashes[new], fresh):
+        known, new = book.find(hashes), new[:0]
+    if not len(new):
+        return book.lattices.sample(known[same], draws)
+    own = np.full(len(hashes), -1)
+    own[new] = np.arange(len(new))
+    sizes, parts = np.zeros(len(same), dtype=np.int64), []
+    for lattices, index in ((book.lattices, known), (fresh, own)):
+        at = np.flatnonzero(index[same] >= 0)
+        pieces, n = lattices.sample(index[same[at]], draws[at])
+        sizes[at] = n
+        parts.append((at, pieces, n))
+    begins = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), dtype=np.int64)
+    for at, pieces, n in parts:
+        out[np.arange(len(pieces)) + np.repeat(begins[at] - (np.cumsum(n) - n), n)] = pieces
+    return out, sizes
+
+
 def encode(vocab: Vocabulary, keys: list[str], texts: list[str], alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order, and the bounds of each text's in them."""
     code = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
@@ -230,12 +306,12 @@ def encode(vocab: Vocabulary, keys: list[str], texts: list[str], alpha: float =
     begin = np.flatnonzero(begins)
     length = np.diff(np.append(begin, n))
     of_row = np.searchsorted(begin, rows)
-    _, one, same = np.unique(slice_hash(prefix_hash(code), begin, begin + length), return_index=True, return_inverse=True)
-    lattices = Lattices(vocab, alpha, code, begin[one], length[one])
+    hashes, one, same = np.unique(slice_hash(prefix_hash(code), begin, begin + length), return_index=True, return_inverse=True)
     seeds = np.frombuffer(b"".join(hashlib.blake2b(f"{seed}:{k}".encode(), digest_size=8).digest() for k in keys), dtype=np.uint64)
     counts = np.diff(of_row)
     nth = np.arange(len(begin)) - np.repeat(of_row[:-1], counts)
-    pieces, sizes = lattices.sample(same, mix(np.repeat(seeds, counts) + mix(nth.astype(np.uint64) + np.uint64(1))))
+    draws = mix(np.repeat(seeds, counts) + mix(nth.astype(np.uint64) + np.uint64(1)))
+    pieces, sizes = _sampled(vocab, alpha, code, begin[one], length[one], hashes, same, draws)
     ids, spelled = spell(pieces, vocab.byte_ids)
     bounds = np.concatenate([[0], np.cumsum(sizes)])[of_row]
     return ids, np.concatenate([[0], np.cumsum(spelled)])[bounds]
@@ -272,6 +348,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
                 ids, bounds = encode(vocab, b.column(own).to_pylist(), b.column(own + 1).to_pylist(), alpha, seed)
                 pieces = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:own], pc.utf8_length(b.column(own + 1)).cast(pa.int64()), pieces], [id_col, *carry, "n_chars", "ids"])
+            tidy()
 
     return slim.mapInArrow(run, _schema(slim, own) + ", n_chars long, ids array<int>")
 
@@ -291,5 +368,6 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", pat
                 bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns[:own], col, pc.binary_join(lists, b"").cast(pa.string())], [id_col, *carry, ids, "text"])
+            tidy()
 
     return slim.mapInArrow(run, _schema(slim, own) + f", `{ids}` array<int>, text string")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
 from stratagraph.llm.outliers import text_counts
-from stratagraph.llm.runtime import cut, ship, small_side, text_batches
+from stratagraph.llm.runtime import cut, ship, small_side, text_batches, tidy
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 20_000
@@ -110,6 +110,7 @@ def _features_of(rows: DataFrame) -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             f = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), f], [*names, "f"])
+            tidy()
 
     return rows.select(*names, "text").mapInArrow(run, schema)
 

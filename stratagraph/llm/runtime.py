@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a table of narrow rows that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch on its way to a Python worker, and of a row group that a task holds while it writes a table.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def ship(df: DataFrame) -> None:
-    """Lets Python workers import the package: Spark's file server hands them an archive of it, once for a context."""
+    """Lets Python workers import the package: Spark's file server hands them an archive of it, once for a context.
+
+    From then on the session's Arrow batches have about BATCH_BYTES, whatever the length of the texts.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = df.sparkSession.sparkContext
     if getattr(context, "_stratagraph_shipped", False):
         return
@@ -57,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strata/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
