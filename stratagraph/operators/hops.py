@@ -145,7 +145,8 @@ def hot_call_paths(g: Graph, names: list[str], limit: int = LIMIT) -> DataFrame:
     e = g.named
     if names:
         at = resolved(g.nodes, names)
-        e = e.join(at, (e["src"] == at["name"]) | (e["dst"] == at["name"]), "left_semi")
+        out = e.join(at, e["src"] == at["name"], "left_semi")
+        e = out.unionByName(e.join(at, e["src"] == at["name"], "left_anti").join(at, F.col("dst") == at["name"], "left_semi"))
     return first(rows_of(e, "src"), limit)
 
 

@@ -30,6 +30,7 @@ class Request:
     line_number: int | None = None
     depth: int | None = None
     limit: int = hops.LIMIT
+    snapshot_id: int = 1
 
     @property
     def name(self) -> str:

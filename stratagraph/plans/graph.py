@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratagraph.sources import star
 from stratagraph.sources.tables import settle, shared_folder
@@ -38,6 +39,12 @@ class Graph:
         return self.nodes.sparkSession
 
 
+def with_tail(nodes: DataFrame) -> DataFrame:
+    """Nodes with `tail`, what follows the last # of the name: names are looked up by it, with an equality that is pushed down."""
+    name = F.col("canonical_name")
+    return nodes.withColumn("tail", F.when(name.contains("#"), F.substring_index(name, "#", -1)))
+
+
 def with_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with src, dst and their kinds, files and lines; null where an end has no node."""
     for name, kind in EDGE_DEFAULTS.items():
@@ -51,6 +58,7 @@ def with_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_of(nodes: DataFrame, edges: DataFrame, observations: DataFrame) -> Graph:
     """A graph of plain tables, for small and temporary ones."""
+    nodes = with_tail(nodes)
     return Graph(nodes, with_names(nodes, edges), observations)
 
 
@@ -60,6 +68,7 @@ def stored(nodes: DataFrame, edges: DataFrame, observations: DataFrame, path: st
     Rows are rebalanced by kind: Spark joins small kinds' tasks and splits large ones by size.
     """
     spark = nodes.sparkSession
+    nodes = with_tail(nodes)
     nodes.hint("rebalance", "kind").write.partitionBy("kind").parquet(f"{path}/nodes")
     nodes = spark.read.schema(nodes.schema).parquet(f"{path}/nodes")
     named = with_names(nodes, edges)
@@ -81,19 +90,23 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _ending(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(asked, name) of the symbols that end in # and a name asked for: one scan, by the names' own last parts."""
+    wanted = F.broadcast(nodes.sparkSession.createDataFrame([(n, n.rpartition("#")[2]) for n in names], "asked string, last string"))
+    at = nodes.filter(F.col("tail").isin(*{n.rpartition("#")[2] for n in names})).select("canonical_name", "tail")
+    return at.join(wanted, (F.col("tail") == F.col("last")) & F.endswith(F.col("canonical_name"), F.concat(F.lit("#"), F.col("asked")))).select("asked", F.col("canonical_name").alias("name")).distinct()
+
+
 def resolved(nodes: DataFrame, names: list[str], candidates: int = 20) -> DataFrame:
     """One column `name`: the names asked for, and for each the first symbols that end in `#name`. Bounded by 21 rows a name."""
-    spark = nodes.sparkSession
-    out = spark.createDataFrame([(n,) for n in names], "name string")
-    for n in names:
-        ends = nodes.filter(F.col("canonical_name").endswith("#" + n)).select(F.col("canonical_name").alias("name")).distinct()
-        out = out.unionByName(ends.orderBy("name").limit(candidates))
-    return F.broadcast(out.distinct())
+    first = F.row_number().over(Window.partitionBy("asked").orderBy("name"))
+    ends = _ending(nodes, names).withColumn("n", first).filter(F.col("n") <= candidates).select("name")
+    return F.broadcast(nodes.sparkSession.createDataFrame([(n,) for n in names], "name string").unionByName(ends).distinct())
 
 
 def first_resolved(nodes: DataFrame, name: str) -> DataFrame:
     """One row `name`: the first symbol that ends in `#name`, or the name itself."""
-    ends = nodes.filter(F.col("canonical_name").endswith("#" + name)).agg(F.min("canonical_name").alias("m"))
+    ends = _ending(nodes, [name]).agg(F.min("name").alias("m"))
     return F.broadcast(ends.select(F.coalesce("m", F.lit(name)).alias("name")))
 
 

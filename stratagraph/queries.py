@@ -11,26 +11,29 @@ from stratagraph.operators import ingest, symbols, whole
 from stratagraph.plans import oracle
 from stratagraph.plans.catalog import CATALOG, Request, build
 from stratagraph.plans.graph import star_graph
+from stratagraph import row_queries
 from stratagraph.sources.star import duckdb_ctes
 from stratagraph.streaming.incremental import event_counts
 
 CATALOG_MODULE, LOG_MODULE = "module:parts/catalog", "module:users/log"
 BRAND = "Brand_11"
+_MANY = [f"S{i}" for i in range(1, 31)]
 
 #: What each intent is asked with; those not listed need nothing.
 REQUESTS: dict[str, dict] = {
     **dict.fromkeys(("who_calls_api", "what_api_calls", "find_api_struct_writes", "find_api_struct_reads", "find_api_field_writes", "find_api_field_reads", "find_type_dependencies"), {"names": ["S7", "S48"]}),
-    "find_api_timer_triggers": {"names": ["S1", "S11"]},
+    "find_api_timer_triggers": {"names": _MANY},
     **dict.fromkeys(("who_calls_api_at_runtime", "why_api_invoked", "show_api_runtime_observations", "show_runtime_flow_for_trace"), {"names": ["S1", "S6", "S7"]}),
     **dict.fromkeys(("find_api_logs", "find_api_logs_by_level"), {"names": ["U1", "U2"], "log_level": "ERROR"}),
-    **dict.fromkeys(("show_registration_chain", "find_callback_registrars"), {"names": ["S1", "S11", "S21"]}),
-    "show_dispatch_sites": {"names": ["S6", "S11"]},
-    **dict.fromkeys(("find_struct_writers", "find_struct_readers", "where_struct_modified", "where_struct_initialized", "find_struct_owners"), {"struct_name": BRAND + ".P12"}),
+    **dict.fromkeys(("show_registration_chain", "find_callback_registrars"), {"names": _MANY}),
+    "show_dispatch_sites": {"names": _MANY},
+    **dict.fromkeys(("find_struct_writers", "find_struct_readers", "where_struct_modified", "where_struct_initialized"), {"struct_name": BRAND + ".P12"}),
+    "find_struct_owners": {"struct_name": BRAND}, "find_class_inheritance": {"names": ["Brand_25"]},
     **dict.fromkeys(("find_field_writers", "find_field_readers", "find_field_type"), {"names": ["Brand_25.P4", "Brand_3.P8", "Brand_11.P12", "Brand_8.P16", "Brand_25.P100"]}),
     "find_field_access_path": {"struct_name": "module:parts/catalog#brand_1", "field_name": "7"},
-    **dict.fromkeys(("find_module_imports", "find_module_dependents", "find_transitive_dependencies", "find_import_cycles_deep"), {"names": ["module:ASIA/NATION_7"]}),
+    **dict.fromkeys(("find_module_imports", "find_module_dependents", "find_transitive_dependencies"), {"names": ["module:ASIA/NATION_7"]}), "find_import_cycles_deep": {"names": ["module:MIDDLE EAST/NATION_9"]},
     **dict.fromkeys(("find_module_symbols", "find_module_top_exports", "find_module_summary"), {"names": [CATALOG_MODULE]}),
-    **dict.fromkeys(("find_class_inheritance", "find_class_subtypes", "find_type_aggregates", "find_type_consumers", "find_type_fields", "find_symbol_degree", "find_sibling_symbols"), {"names": [BRAND]}),
+    **dict.fromkeys(("find_class_subtypes", "find_type_aggregates", "find_type_consumers", "find_type_fields", "find_symbol_degree", "find_sibling_symbols"), {"names": [BRAND]}),
     **dict.fromkeys(("find_interface_implementors", "find_type_aggregators"), {"names": ["ECONOMY", "PROMO"]}),
     "find_api_by_log_pattern": {"pattern": "user did p_rch"},
     "show_cross_module_path": {"src": "timer:nightly", "dst": "S11"},
@@ -109,8 +112,8 @@ _EDGES = "SELECT src, dst, edge_kind AS kind, resolution_kind FROM ne"
 _NODE_LIST = "canonical_name AS id, kind, file_path, line, end_line, line_count, exported, doc, owning_class"
 _S7 = f"(SELECT min(canonical_name) FROM nodes WHERE ends_with(canonical_name, '#{_CENTER}'))"
 _DIFF = f""", n2 AS (SELECT canonical_name AS id FROM nodes WHERE NOT starts_with(canonical_name, '{CATALOG_MODULE}#Brand_7.')),
-e1 AS (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne), e2 AS (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne WHERE NOT (edge_kind = 'calls' AND ends_with(src, '7'))),
-d AS (SELECT 'node' AS item, 'removed' AS change, canonical_name AS src, '' AS dst, '' AS kind FROM nodes WHERE canonical_name NOT IN (SELECT id FROM n2)
+e1 AS MATERIALIZED (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne), e2 AS MATERIALIZED (SELECT DISTINCT src, dst, edge_kind AS kind FROM ne WHERE NOT (edge_kind = 'calls' AND ends_with(src, '7'))),
+d AS (SELECT 'node' AS item, 'removed' AS change, canonical_name AS src, '' AS dst, '' AS kind FROM nodes WHERE starts_with(canonical_name, '{CATALOG_MODULE}#Brand_7.')
   UNION ALL SELECT 'node', 'common', id, '', '' FROM n2
   UNION ALL SELECT 'edge', 'removed', * FROM (SELECT * FROM e1 EXCEPT SELECT * FROM e2)
   UNION ALL SELECT 'edge', 'common', * FROM e2)
@@ -140,3 +143,6 @@ FROM nodes p JOIN nodes n ON n.file_path = p.file_path AND p.line + 3 BETWEEN n.
 FROM nodes s LEFT JOIN nodes f ON f.kind = 'function' AND f.file_path = s.file_path AND s.line + 7 BETWEEN f.line AND f.line + 500 WHERE s.kind IN ('function', 'field') GROUP BY s.canonical_name""",
     "roll_up_aggregates": _WITH + "SELECT DISTINCT c.src, f.dst, 'aggregates' AS edge_kind, 0.95::DOUBLE AS confidence FROM ne c JOIN ne f ON f.edge_kind = 'field_of_type' AND c.dst = f.src WHERE c.edge_kind = 'contains'",
 }
+
+QUERIES |= row_queries.QUERIES
+ORACLE |= row_queries.ORACLE

@@ -139,12 +139,21 @@ def test_whole_graph(g):
 
 
 def test_engine(g):
-    assert parse_intent("Who calls-API") == "who_calls_api"
-    assert problems(Request("who_calls_api", limit=0, names=["a"])) and problems(Request("nope"))
+    assert parse_intent(" Who  calls -API ") == "who_calls_api" and parse_intent("who-calls") == "who_calls_api" and parse_intent("where struct init") == "where_struct_initialized" and parse_intent("callers") is None
+    assert problems(Request("who_calls_api", limit=0, names=["a"])) and problems(Request("nope")) and problems(Request("who_calls_api", names=["a"], snapshot_id=0))
+    assert problems(Request("show_runtime_flow_for_trace", names=["a"])) and not problems(Request("show_runtime_flow_for_trace", trace_id="t")) and not problems(Request("find_module_imports"))
+    assert problems(Request("find_field_access_path", struct_name="s")) and not problems(Request("find_field_access_path", struct_name="s", field_name="f"))
     calls = []
     e = Engine(lambda: g, [Enricher("model", lambda r: calls.append("m") or False, True), Enricher("parser", lambda r: calls.append("p") or True)])
     assert e.query(Request("who_calls_api", names=["baz"])).status == "hit"
     missed = e.query(Request("who_calls_api", names=["nobody"]))
     assert missed.status == "not_found" and calls == ["p"]  # the model is asked only if all others failed
     assert e.query(Request("who_calls_api")).status == "error"
-    assert e.callers("_on_timer___RAM")[0] == "who_calls_api_at_runtime" and not e.is_empty()
+    assert missed.facets["runtime_logs_facet_completeness_status"] == "runtime_facet_data_not_yet_ingested" and missed.path == "db_miss_deterministic"
+    e = Engine(lambda: g, [Enricher("model", lambda r: calls.append("m") or True, True), Enricher("parser", lambda r: calls.append("p"))])
+    assert e.query(Request("who_calls_api", names=["nobody"])).status == "not_found" and calls == ["p", "p", "m"]
+    source, callers, registrars = e.callers("_on_timer___RAM")
+    assert source == "who_calls_api_at_runtime" and {c["name"] for c in callers} == {"dispatch", "scan_timer"} and not registrars
+    assert not e.is_empty() and e.diagnostic() is None
+    row = e.query(Request("who_calls_api_at_runtime", names=["on_timer"])).rows[0]
+    assert row["runtime_caller_api_name"] == row["caller"] and row["runtime_caller_invocation_type_classification"] == "runtime_function_pointer_call"
