@@ -7,17 +7,20 @@ a slot, and where the streams mismatch, what only one side has becomes an option
 wrappers are made inside each task and then merged in two rounds per host, so no task gets a
 host's pages, only its partial wrappers.
 
-The finished expression then reads each page of a host that has pages without an article or main
-element, and says which of its slots each text fills: a slot is a place in the expression, so two
-texts in like containers are two slots where the pages' structure tells them apart. Every slot
-carries what the host's pages show at that place: pages, characters, how many of them are in links,
-and the length and digest of the text if it never changed. Slots are main text or not by the containers they lie in (a menu,
-header, footer, sidebar, notice, advert, form, comment or share box never is); below an article or
-main element they are main text whatever they hold, so such pages need no expression, and in a page
-without one, unless they hold the same text on all of several pages or mostly links.
+The finished expression then reads every page of its host and says which of its slots each text
+fills: a slot is a place in the expression, so two texts in like containers are two slots where the
+pages' structure tells them apart. Every slot carries what the host's pages show at that place: pages,
+characters, how many of them are in links, and the length and digest of the text if it never changed.
+Whether a text is main text is decided by its slot: not if the slot lies in a menu, header, footer,
+sidebar, form, an article inside another, or a container whose own name says that it is one of these,
+a notice, advert or comment; nor if it holds the same text on all of several pages that differ
+elsewhere, or only links on several pages, headings apart; and if any slot that the page fills lies in an article or main
+element, only such slots are. On a page that fills none of these, a slot of mostly links isn't either.
 
 Extraction reads each page again, with its host's slots, and emits the blocks of main text in order.
-An expression is as long as its host's pages are varied; it takes in every page that it was made of.
+An expression is as long as its host's pages are varied; it takes in every page that it was made of,
+and alignments are exact at any length: longest common subsequences by bits, halved where the bits of
+all rows would be too many.
 
 Defined results: null html is an empty page, with no text; a page cut off anywhere is read as far as
 it goes; a null url belongs to the host ''; repeated rows each give a row; an empty table gives an
@@ -31,18 +34,19 @@ import html as entities
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import cut, ship
+from stratagraph.llm.runtime import cut, ship, tidy
 
 #: Characters of wrappers that may be broadcast together; beyond it they join by host.
 BROADCAST_CHARS = 32 << 20
-#: Hosts whose partial wrappers a task holds at once, salts of the first merge, and items of a side whose square bounds an alignment.
-HELD_HOSTS, SALTS, MAX_TOKENS = 5_000, 32, 600
-#: A text is a host's constant if so many pages have it and none another.
+#: Hosts whose partial wrappers a task holds at once, salts of the first merge, and bits of rows that an alignment holds at once.
+HELD_HOSTS, SALTS, HELD_BITS = 5_000, 32, 1 << 30
+#: A slot is a host's constant, or its menu, if so many pages fill it.
 CONSTANT_PAGES = 3
 
 #: Words before a cue that take its meaning.
@@ -59,10 +63,13 @@ BLOCKS = frozenset(
 #: A start tag of the first kind ends an open element of the second, unless one of the third is in between.
 CLOSES_P = BLOCKS - {"br"}
 ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of a class, id or role that mark what isn't main text.
-CUES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
+#: Words that say what a container is: as the first of its name, or as the last one, or as a whole name or after one of SITE.
+FIRST = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr masthead nav navbar navigation newsletter pager pagination paywall popup promo promoted promotion recommended related replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription".split()
 )
+LAST = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments menu modal nav navbar navigation notice pager pagination popup promo replies sidebar sponsored toolbar".split())
+WHOLE = frozenset("banner disclaimer footer header hidden login menu modal notice notices notification overlay respond search toolbar widget".split())
+SITE = frozenset("site page global main top bottom".split())
 
 #: A tag's quoted values may hold ">", or else, where a quote isn't closed, the tag ends at the next one.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:(?:\"[^\"<]*\"|'[^'<]*'|[^>\"'<])*(?=>))|[^>]*)(?:>|\Z)", re.S)
@@ -71,26 +78,25 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def _cued(attributes: str) -> bool:
-    """Whether the names say that the element isn't main text; has-sidebar and the like say nothing of the kind."""
+    """Whether a name says that the element isn't main text; has-sidebar, table-header and search-results say nothing of the kind."""
     for m in _NAMES.finditer(attributes):
-        before = ""
-        for word in _WORDS.findall(m[1] or m[2] or m[3] or ""):
-            word = word.lower()
-            if word in CUES and before not in NEGATING:
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORDS.findall(name)]
+            if not words or words[0] in NEGATING:
+                continue
+            if words[0] in FIRST or words[-1] in LAST or words[-1] in WHOLE and (len(words) == 1 or words[0] in SITE):
                 return True
-            before = word
     return False
 
 
 class Page:
     """What a page shows: its blocks as (path, text, characters in links), and its structure as tokens."""
 
-    __slots__ = ("blocks", "tokens", "has_main")
+    __slots__ = ("blocks", "tokens")
 
     def __init__(self, html: str):
         self.blocks: list[tuple[str, str, int]] = []
         self.tokens: list[str] = []
-        self.has_main = False
         #: Open elements: name, and the path of containers down to it.
         stack: list[tuple[str, str]] = [("", "")]
         text: list[str] = []
@@ -163,14 +169,13 @@ class Page:
             attributes = m[3]
             path = stack[-1][1]
             # inline elements are no containers, unless their names say what they hold
-            mark = name in BOILERPLATE or bool(attributes) and name not in ("html", "body", "article", "main") and _cued(attributes)
+            mark = name in BOILERPLATE or bool(attributes) and name not in ("html", "body") and _cued(attributes)
+            mark = mark or name == "article" and ">article" in path  # an article in another: a comment, a teaser
             if name in BLOCKS or mark:
                 if mark and name not in BLOCKS:
                     flush()
                 path = f"{path}>{name}{'!' if mark else ''}" if name not in ("html", "body") or mark else path
                 self.tokens.append(f"<{name}{'!' if mark else ''}>")
-                if name in ("article", "main") and not mark:
-                    self.has_main = True
             stack.append((name, path))
             links += name == "a"
             hidden += name in HIDDEN
@@ -180,13 +185,27 @@ class Page:
         pop(1)
 
 
+_MAIN = re.compile(r">(?:article|main)(?=>|$)")
+
+
 def in_main(path: str) -> bool:
-    return ">article" in path or ">main" in path
+    return _MAIN.search(path) is not None
 
 
-def collapse(tokens: list, longest: int = 12) -> list:
+def _repeats(tokens: list, size: int) -> bool:
+    """Whether anything of this size stands twice in a row."""
+    codes: dict = {}
+    a = np.array([codes.setdefault(t, len(codes)) for t in tokens])
+    other = np.flatnonzero(a[:-size] != a[size:])
+    return bool((np.diff(np.concatenate([[-1], other, [len(a) - size]])) > size).any())
+
+
+def collapse(tokens: list) -> list:
     """Tandem repeats as ("+", group); short groups first, so that groups nest."""
-    for size in range(1, longest + 1):
+    size = 0
+    while (size := size + 1) <= len(tokens) // 2:
+        if size > 12 and not _repeats(tokens, size):
+            continue
         out: list = []
         k = 0
         while k < len(tokens):
@@ -219,6 +238,46 @@ def _merge(a, b):
     return (kind, _strip(a))
 
 
+def common(x: list, y: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence of both, in order.
+
+    A row of the usual table is a number, with a zero bit wherever the length grows; where all rows would be
+    too many bits, x is halved and y is cut where the halves' lengths add up to the most.
+    """
+    if not x or not y:
+        return []
+
+    def rows(x: list, y: list, keep: bool):
+        at: dict = {}
+        for j, item in enumerate(y):
+            at[item] = at.get(item, 0) | 1 << j
+        full = (1 << len(y)) - 1
+        v, out = full, [full]
+        for item in x:
+            u = v & at.get(item, 0)
+            v = ((v + u) | (v - u)) & full
+            if keep:
+                out.append(v)
+        return out if keep else v
+
+    if len(x) * len(y) > HELD_BITS and len(x) > 1:
+        half = len(x) // 2
+        grown = lambda v: np.concatenate([[0], np.cumsum([c == "0" for c in reversed(f"{v:0{len(y)}b}")])])
+        ahead, behind = grown(rows(x[:half], y, False)), grown(rows(x[:half - 1 : -1], y[::-1], False))[::-1]
+        cut_at = int((ahead + behind).argmax())
+        return common(x[:half], y[:cut_at]) + [(i + half, j + cut_at) for i, j in common(x[half:], y[cut_at:])]
+    table, i, j, out = rows(x, y, True), len(x), len(y), []
+    while i and j:
+        if table[i] >> (j - 1) & 1:
+            j -= 1
+        elif not table[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(a: list, b: list) -> list:
     """The expression that takes in what a and b do: a longest common alignment, the rest in optional groups."""
     n, m = len(a), len(b)
@@ -231,39 +290,34 @@ def align(a: list, b: list) -> list:
     while high < min(n, m) - low and a[n - 1 - high] == b[m - 1 - high]:
         high += 1
     x, y = a[low : n - high], b[low : m - high]
-    if len(x) * len(y) > MAX_TOKENS**2:
-        middle = [_optional(tuple(x)), _optional(tuple(y))]
-    else:
-        sx, sy = [_strip(i) for i in x], [_strip(i) for i in y]
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if sx[i] == sy[j] else max(best[i + 1][j], best[i][j + 1])
-        middle, i, j = [], 0, 0
-        mine: list = []
-        yours: list = []
-
-        def close() -> None:
-            if mine and yours and (g := _base(mine)) == _base(yours):  # x+ and x, or alike
-                kinds = {k[0][0] for k in (mine, yours) if len(k) == 1 and isinstance(k[0], tuple)}
-                middle.append(("*" if kinds & {"*", "?"} else "+", g))
-            else:
-                middle.extend((_optional(tuple(mine)), _optional(tuple(yours))))
-            mine.clear()
-            yours.clear()
-
-        while i < len(x) or j < len(y):
-            if i < len(x) and j < len(y) and sx[i] == sy[j]:
-                close()
-                middle.append(_merge(x[i], y[j]))
-                i, j = i + 1, j + 1
-            elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-                mine.append(x[i])
-                i += 1
-            else:
-                yours.append(y[j])
-                j += 1
-        close()
+    sx, sy = [_strip(i) for i in x], [_strip(i) for i in y]
+    pairs = iter([*common(sx, sy), (len(x), len(y))])
+    pair = next(pairs)
+    middle, i, j = [], 0, 0
+    mine: list = []
+    yours: list = []
+
+    def close() -> None:
+        if mine and yours and (g := _base(mine)) == _base(yours):  # x+ and x, or alike
+            kinds = {k[0][0] for k in (mine, yours) if len(k) == 1 and isinstance(k[0], tuple)}
+            middle.append(("*" if kinds & {"*", "?"} else "+", g))
+        else:
+            middle.extend((_optional(tuple(mine)), _optional(tuple(yours))))
+        mine.clear()
+        yours.clear()
+
+    while i < len(x) or j < len(y):
+        if (i, j) == pair:
+            close()
+            middle.append(_merge(x[i], y[j]))
+            i, j, pair = i + 1, j + 1, next(pairs)
+        elif i < pair[0]:
+            mine.append(x[i])
+            i += 1
+        else:
+            yours.append(y[j])
+            j += 1
+    close()
     return absorb(collapse([*a[:low], *(g for g in middle if g is not None), *a[n - high :]]))
 
 
@@ -274,8 +328,11 @@ def _base(items: list) -> tuple:
 def absorb(items: list) -> list:
     """A repeated or optional group and equal items beside it as one group."""
     out: list = []
+    groups: list[int] = []  # places of the groups in out
     for item in items:
         out.append(item)
+        if isinstance(item, tuple):
+            groups.append(len(out) - 1)
         while True:
             last = out[-1]
             if isinstance(last, tuple) and len(out) > 1:
@@ -283,13 +340,17 @@ def absorb(items: list) -> list:
                 before = out[-2]
                 if isinstance(before, tuple) and before[1] == g:
                     out[-2:] = [("+" if "+" in (kind, before[0]) else "*", g)]
+                    groups.pop()
                     continue
                 if out[-1 - len(g) : -1] == list(g):
                     out[-1 - len(g) :] = [("+", g)]
+                    while groups and groups[-1] >= len(out) - 1:
+                        groups.pop()
+                    groups.append(len(out) - 1)
                     continue
-            else:  # the last items spell the group before them
-                k = next((k for k in range(len(out) - 2, max(-1, len(out) - 14), -1) if isinstance(out[k], tuple)), None)
-                if k is not None and tuple(out[k + 1 :]) == out[k][1]:
+            elif groups:  # the last items spell the group before them
+                k = groups[-1]
+                if len(out) - 1 - k == len(out[k][1]) and tuple(out[k + 1 :]) == out[k][1]:
                     out[k:] = [("+", out[k][1])]
                     continue
             break
@@ -350,6 +411,9 @@ class Matcher:
             self._after[place] = by, 0 in seen
         return self._after[place]
 
+    def token(self, place: int) -> str:
+        return self._states[place][0]
+
     def slots(self, tokens: list[str]) -> list[int] | None:
         """The slot of each text in order, or None if the expression doesn't spell the page."""
         steps: list[dict] = []
@@ -406,11 +470,34 @@ def pool(into: dict, slots: dict) -> None:
                 s[3] = None
 
 
-def is_main(path: str, held: list, of: int) -> bool:
-    """Whether a slot with this path is main text in a page without an article or main element, on a host of so many pages."""
+_HEADING = re.compile(r">h[1-6]$")
+
+
+def is_main(path: str, held: list, of: int, varied: bool = True) -> tuple[bool, bool]:
+    """Whether a slot with this path may be main text beside others in an article or main element, and without any.
+
+    held: what the slot holds on a host of so many pages; varied: whether most of what they hold differs between them.
+    """
     pages, chars, linked, text = held
-    constant = text is not None and pages >= CONSTANT_PAGES and pages == of
-    return "!" not in path and not constant and 2 * linked <= chars
+    if "!" in path:
+        return False, False
+    several = pages >= CONSTANT_PAGES and _HEADING.search(path) is None
+    constant = varied and text is not None and several and pages == of
+    return not constant and not (several and linked >= chars), not (varied and text is not None and pages >= CONSTANT_PAGES and pages == of) and 2 * linked <= chars
+
+
+def decide(paths: dict, held: dict, of: int) -> dict:
+    """For each slot whether it lies in main, and is_main()."""
+    own = [h for k, h in held.items() if "!" not in paths[k]]
+    varied = 2 * sum(h[1] for h in own if h[3] is None) >= sum(h[1] for h in own) > 0
+    return {k: (in_main(paths[k]), *is_main(paths[k], h, of, varied)) for k, h in held.items()}
+
+
+def chosen(blocks, slots, rules: dict) -> str:
+    """The text of the blocks whose slots are main text; a slot that no page of the host is known to fill goes by its path."""
+    found = [rules.get(k) or (in_main(path), "!" not in path, "!" not in path) for k, (path, _, _) in zip(slots, blocks)]
+    home = any(inside and main for inside, main, _ in found)
+    return "\n".join(text for (inside, main, bare), (_, text, _) in zip(found, blocks) if (inside and main if home else bare))
 
 
 class Wrapper:
@@ -419,24 +506,20 @@ class Wrapper:
     def __init__(self):
         self.items: list | None = None
         self.pages = 0
-        #: Pages without an article or main element.
-        self.bare = 0
         self.slots: dict[str, list] = {}
         self._matcher: Matcher | None = None
 
     def add(self, page: Page) -> None:
-        # a long expression that takes the page in already isn't aligned again
-        if self.items is None or len(self.items) <= MAX_TOKENS or self.matcher().slots(page.tokens) is None:
+        # an expression that takes the page in already isn't aligned again
+        if self.items is None or self.matcher().slots(page.tokens) is None:
             self._take(absorb(collapse(page.tokens)))
         self.pages += 1
-        self.bare += not page.has_main
         pool(self.slots, tally(page.blocks, (path for path, _, _ in page.blocks)))
 
     def merge(self, other: Wrapper) -> None:
         if other.items is not None:
             self._take(other.items)
             self.pages += other.pages
-            self.bare += other.bare
             pool(self.slots, other.slots)
 
     def _take(self, items: list) -> None:
@@ -448,12 +531,12 @@ class Wrapper:
             self._matcher = Matcher(self.items or [])
         return self._matcher
 
-    def main_slots(self) -> dict[str, bool]:
-        """For each path whether it is main text in a page without an article or main element."""
-        return {path: is_main(path, held, self.pages) for path, held in self.slots.items()}
+    def rules(self) -> dict:
+        """decide() by paths, for a page that the expression doesn't spell."""
+        return decide({path: path for path in self.slots}, self.slots, self.pages)
 
     def dump(self) -> str:
-        return json.dumps([self.items, self.pages, self.bare, self.slots], ensure_ascii=False)
+        return json.dumps([self.items, self.pages, self.slots], ensure_ascii=False)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
@@ -461,15 +544,14 @@ class Wrapper:
             return x if isinstance(x, str) else (x[0], tuple(back(i) for i in x[1]))
 
         out = cls()
-        items, out.pages, out.bare, out.slots = json.loads(text)
+        items, out.pages, out.slots = json.loads(text)
         out.items = None if items is None else [back(i) for i in items]
         return out
 
 
-def main_text(page: Page, slots: dict[str, bool]) -> str:
-    if page.has_main:
-        return "\n".join(text for path, text, _ in page.blocks if in_main(path) and "!" not in path)
-    return "\n".join(text for path, text, _ in page.blocks if slots.get(path, "!" not in path))
+def main_text(page: Page, rules: dict) -> str:
+    """A page's main text by rules for its paths."""
+    return chosen(page.blocks, [path for path, _, _ in page.blocks], rules)
 
 
 class Form:
@@ -480,17 +562,23 @@ class Form:
         self.matcher = self.wrapper.matcher()
         #: By the place in the expression; JSON has its keys as strings.
         self.held: dict[str, list] = json.loads(held) if held else {}
+        self._rules: dict | None = None
 
     def add(self, page: Page) -> None:
         slots = self.matcher.slots(page.tokens)
         if slots is not None:
             pool(self.held, tally(page.blocks, map(str, slots)))
 
+    def rules(self) -> dict:
+        if self._rules is None:
+            self._rules = decide({k: self.matcher.token(int(k))[1:] for k in self.held}, self.held, self.wrapper.pages)
+        return self._rules
+
     def text(self, page: Page) -> str:
-        slots = None if page.has_main else self.matcher.slots(page.tokens)
+        slots = self.matcher.slots(page.tokens)
         if slots is None:
-            return main_text(page, {} if page.has_main else self.wrapper.main_slots())
-        return "\n".join(text for k, (path, text, _) in zip(slots, page.blocks) if is_main(path, self.held[str(k)], self.wrapper.pages))
+            return main_text(page, self.wrapper.rules())
+        return chosen(page.blocks, [str(k) for k in slots], self.rules())
 
 
 def _rows(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
@@ -499,7 +587,7 @@ def _rows(pages: DataFrame, id_col: str, url: str, html: str) -> DataFrame:
 
 
 def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """host, its wrapper (JSON) and the number of its pages without an article or main element."""
+    """host and its wrapper (JSON): the expression, pages, and what lies at its paths."""
     ship(pages)
 
     def partial(batches):
@@ -508,9 +596,9 @@ def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
 
         def out():
             names = list(held)
-            dumps, bare = [held[h].dump() for h in names], [held[h].bare for h in names]
+            dumps = [held[h].dump() for h in names]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array(dumps, pa.string()), pa.array(bare, pa.int64())], ["host", "salt", "wrapper", "bare"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array(dumps, pa.string())], ["host", "salt", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch.column(0), batch.column(1)):
@@ -524,11 +612,11 @@ def infer(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
         w = Wrapper()
         for text in sorted(table.column("wrapper").to_pylist()):
             w.merge(Wrapper.load(text))
-        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "wrapper": pa.array([w.dump()], pa.string()), "bare": pa.array([w.bare], pa.int64())})
+        return pa.table({"host": table.column("host")[:1], "salt": table.column("salt")[:1], "wrapper": pa.array([w.dump()], pa.string())})
 
-    schema = "host string, salt int, wrapper string, bare long"
+    schema = "host string, salt int, wrapper string"
     parts = _rows(pages, id_col, url, html).select("host", "html").mapInArrow(partial, schema)
-    return parts.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper", "bare")
+    return parts.groupBy("host", "salt").applyInArrow(merged, schema).groupBy("host").applyInArrow(merged, schema).select("host", "wrapper")
 
 
 def _with_forms(rows: DataFrame, forms: DataFrame, how: str) -> DataFrame:
@@ -576,30 +664,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     """page_id, url and text of each row, by the wrappers inferred from all rows."""
     ship(pages)
     rows = _rows(pages, id_col, url, html)
-    # only hosts with pages outside article and main have texts that slots decide about
-    wrappers = cut(infer(pages, id_col, url, html).filter("bare > 0").select(F.col("host").alias("__h"), "wrapper"))
-    if wrappers.isEmpty():
-        rows = rows.withColumns({"wrapper": F.lit(None).cast("string"), "held": F.lit(None).cast("string")})
-    else:
-        forms = cut(wrappers.join(fill(rows, wrappers), F.col("__h") == F.col("host")).select("__h", "wrapper", "held"))
-        rows = _with_forms(rows, forms, "left")
-    rows = rows.select("id", "url", "host", "html", "wrapper", "held")
+    wrappers = cut(infer(pages, id_col, url, html).select(F.col("host").alias("__h"), "wrapper"))
+    forms = cut(wrappers.join(fill(rows, wrappers), F.col("__h") == F.col("host")).select("__h", "wrapper", "held"))
+    rows = _with_forms(rows, forms, "left").select("id", "url", "host", "html", "wrapper", "held")
 
     def run(batches):
         forms: dict[str, Form] = {}
         for batch in batches:
             texts = []
             for host, html_, wrapper, held in zip(*batch.columns[2:]):
-                page = Page(html_.as_py())
-                if page.has_main:
-                    texts.append(main_text(page, {}))
-                    continue
                 h = host.as_py()
                 if h not in forms:
                     if len(forms) >= HELD_HOSTS:
                         forms.clear()
                     forms[h] = Form(wrapper.as_py(), held.as_py())
-                texts.append(forms[h].text(page))
+                texts.append(forms[h].text(Page(html_.as_py())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            tidy()
 
     return rows.mapInArrow(run, f"page_id {rows.schema['id'].dataType.simpleString()}, url string, text string")
