@@ -1,5 +1,6 @@
 """Quality, near-duplicates, languages, segmentation and outliers."""
 
+import itertools
 import math
 import random
 import re
@@ -60,35 +61,56 @@ def test_counts_match_brute_force():
     assert got == [slow_counts(t) for t in texts]
 
 
-def slow_mcd(x, steps=outliers.STEPS):
-    """The same steps in memory, with the quantile's bins."""
-    def bin_median(v, f):
-        w = f * 4 / outliers.BINS
-        return (np.sort(np.floor(v / w))[math.ceil(len(v) / 2) - 1] + 0.5) * w
-    m = np.array([bin_median(x[:, i], f) for i, f in enumerate(outliers.FLOORS)])
-    a = np.array([bin_median(np.abs(x[:, i] - m[i]), f) for i, f in enumerate(outliers.FLOORS)])
-    p = np.diag(1 / ((1.4826 * a) ** 2 + np.square(outliers.FLOORS)))
-    for _ in range(steps):
-        d = np.einsum("ni,ij,nj->n", x - m, p, x - m)
-        b = np.floor(np.log1p(d) * outliers.BINS)
-        near = x[b <= np.sort(b)[math.ceil(len(b) * outliers.SHARE) - 1]]
-        m, p = near.mean(axis=0), outliers.precision(outliers.consistency(outliers.SHARE) * np.cov(near.T, bias=True))
-    return np.einsum("ni,ij,nj->n", x - m, p, x - m)
+def vectors(texts):
+    return np.array([[math.log(max(wc, 1) / n), math.sqrt(s / n), math.sqrt(d / n), math.sqrt(r / n)] for n, wc, s, d, r in map(slow_counts, texts)])
 
 
-def test_outliers_match_brute_force(spark):
+def points(spark, x, key="k"):
+    return spark.createDataFrame([(key, *map(float, row)) for row in x], "key string, x0 double, x1 double, x2 double, x3 double")
+
+
+def test_estimates_have_the_least_determinant_of_all_subsets(spark):
+    """Against all subsets of small samples with outliers, which pull the mean, lie apart or correlate otherwise."""
+    rng = np.random.default_rng(4)
+    for k, far in enumerate(([3, 0, 0, 0], [0, 2, -2, 1], [1, 1, 1, 1])):
+        mix = rng.normal(size=(4, 4)) * 0.4
+        x = np.concatenate([rng.normal(size=(12, 4)) @ mix, rng.normal(size=(3, 4)) * 0.1 + np.array(far) * 3.0])
+        h = math.ceil(len(x) * outliers.SHARE)
+        factor, floor = outliers.consistency(outliers.SHARE), np.diag(np.square(outliers.FLOORS))
+        det = lambda rows: np.linalg.det(factor * np.cov(rows.T, bias=True) + floor)
+        best = min((det(x[list(s)]), s) for s in itertools.combinations(range(len(x)), h))
+        got = outliers.fit(points(spark, x)).first()
+        assert math.isclose(math.exp(got.log_det), best[0], rel_tol=1e-6), k
+        assert np.allclose([got[f"m{i}"] for i in range(4)], x[list(best[1])].mean(axis=0))
+        assert (got.n, got.rows) == (h, len(x))
+
+
+def test_the_start_with_the_least_determinant_wins(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 1)) * [1, 0.9, 0.8, 1] + rng.normal(size=(300, 4)) * 0.05, rng.normal(size=(80, 4)) * 0.3 + [1.5, -1.5, 1, -1]])
+    ends = outliers.cut(outliers.starts(points(spark, x)))
+    assert ends.count() == outliers.STARTS
+    one = outliers.fit(points(spark, x)).first()
+    far = np.array([one[f"m{i}"] for i in range(4)])
+    assert np.abs(far).max() < 0.3 and one.log_det < min(r.log_det for r in ends.collect())
+
+
+def test_cutoff_and_consistency():
+    assert math.isclose(outliers.cutoff(0.05), 9.4877, abs_tol=1e-3) and 33 < outliers.cutoff() < 34
+    d = np.sort((np.random.default_rng(1).normal(size=(400_000, 4)) ** 2).sum(axis=1))
+    assert math.isclose(outliers.cutoff(0.25), d[300_000], rel_tol=0.01)
+
+
+def test_outliers(spark):
     rng = random.Random(3)
-    rows = [(i, prose(rng, 80 + i % 40, 5000) + (" ### ||" * 80 if i % 20 == 0 else ""), "en", "s") for i in range(300)] + [(900, None, None, None), (901, "", "en", "s"), (902, prose(rng, 70, 5000), None, None), (902, prose(rng, 70, 5000), None, None)]
-    got = outliers.judge(frame(spark, rows), min_group=100).collect()
+    rows = [(i, prose(rng, 80 + i % 40, 5000) + (" ### ||" * 80 if i % 20 == 0 else ""), "en", "s") for i in range(300)] + [(900, None, None, None), (901, "", "en", "s"), (902, prose(rng, 70, 5000), None, None), (902, prose(rng, 70, 5000), None, None), (903, prose(rng, 90, 5000), "de", "few")]
+    got = outliers.judge(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
-    c = [slow_counts(t) for i, t, _, _ in rows[:300]]
-    x = np.array([[math.log(wc / n), math.sqrt(s / n), math.sqrt(d / n), math.sqrt(r / n)] for n, wc, s, d, r in c])
-    ok = [not by[i].base_failed for i in range(300)]
-    want = slow_mcd(x[ok])
-    have = np.array([by[i].distance for i in range(300) if ok[i]])
-    assert np.allclose(want, have, rtol=1e-6)
+    for i, t, *_ in rows[:300]:
+        assert [by[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == slow_counts(t)
     assert all(by[i].kept == (i % 20 != 0) for i in range(300)) and by[900].base_failed and not by[900].kept and by[901].n_words == 0
+    assert by[902].kept and by[903].kept  # groups of one or two go by their elders
     assert outliers.judge(frame(spark, [])).count() == 0
 
 
