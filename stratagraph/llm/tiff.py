@@ -1,6 +1,6 @@
 """Media columns: TIFF files in binary columns, read to one row per page.
 
-The reader walks the chain of image directories of either byte order, decodes strips and tiles
+The reader walks the chain of image directories of either byte order, with 32- or 64-bit offsets, decodes strips and tiles
 that are stored plainly or by PackBits, LZW or deflate, undoes horizontal differencing and the
 floating-point predictor (16 and 32 bits) and puts the samples of a page together, chunky or planar.
 Samples have 1, 2, 4, 8, 16 or 32 bits; those of less than 8 come out as a byte each. The writer makes files of one
@@ -18,22 +18,25 @@ import hashlib
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import ship
+from stratagraph.llm.runtime import ship, tidy
 
 #: Fixed values of the TIFF 6.0 format: tags, field sizes, compression numbers.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 266, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
-FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
+FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+#: Of files with 32-bit offsets and of those with 64-bit ones: number of entries, an entry, an offset, and the bytes of these.
+CLASSIC, BIG = ("H", "HHI", "I", 2, 12, 4), ("Q", "HHQ", "Q", 8, 20, 8)
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 
-#: Bytes that a page may decode to; a directory that claims more is an error, not an allocation.
-MAX_PAGE_BYTES = 1 << 30
+#: Bytes that a page may decode to: the most that a binary value holds. A directory that claims more is an error, not an allocation.
+MAX_PAGE_BYTES = (1 << 31) - 1
 
 
 class TiffError(ValueError):
@@ -167,22 +170,26 @@ def _floats(raw: bytes, rows: int, w: int, chunky: int, size: int) -> np.ndarray
     return np.ascontiguousarray(np.moveaxis(sums.reshape(rows, size, w * chunky), 1, 2)).view(f">u{size}").reshape(rows, w, chunky)
 
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, ...]], int]:
+def _directory(data: bytes, at: int, order: str, form: tuple = CLASSIC) -> tuple[dict[int, tuple[int, ...]], int]:
+    number, entry, offset, head, size_of_entry, inline = form
     try:
-        (n,) = struct.unpack_from(f"{order}H", data, at)
+        (n,) = struct.unpack_from(f"{order}{number}", data, at)
+        if at + head + size_of_entry * n + inline > len(data):
+            raise TiffError("a directory beyond the end")
         fields: dict[int, tuple[int, ...]] = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
+            place = at + head + size_of_entry * k
+            tag, kind, count = struct.unpack_from(f"{order}{entry}", data, place)
             if kind not in FIELD:
                 continue
             size = struct.calcsize(f"{order}{FIELD[kind]}") * count
-            place = at + 2 + 12 * k + 8
-            if size > 4:
-                (place,) = struct.unpack_from(f"{order}I", data, place)
+            place += size_of_entry - inline
+            if size > inline:
+                (place,) = struct.unpack_from(f"{order}{offset}", data, place)
             if place + size > len(data):
                 raise TiffError(f"tag {tag} lies beyond the end")
             fields[tag] = struct.unpack_from(f"{order}{count}{FIELD[kind]}", data, place)
-        return fields, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+        return fields, struct.unpack_from(f"{order}{offset}", data, at + head + size_of_entry * n)[0]
     except struct.error:
         raise TiffError("a directory beyond the end") from None
 
@@ -239,29 +246,38 @@ def _page(data: bytes, f: dict[int, tuple[int, ...]], order: str) -> dict:
     return {"width": width, "height": height, "samples": samples, "bits": depth, "compression": compression, "data": np.ascontiguousarray(out, dtype=kind.newbyteorder("<")).tobytes()}
 
 
-def decode(data: bytes) -> list[dict]:
-    """A dict for each page: page, width, height, samples, bits, compression, data (little-endian samples), error."""
-    out: list[dict] = []
+def walk(data: bytes) -> Iterator[dict]:
+    """A dict for each page, one at a time: page, width, height, samples, bits, compression, data (little-endian samples), error."""
     blank = dict.fromkeys(("width", "height", "samples", "bits", "compression", "data", "error"))
+    n = 0
     try:
         order = {b"II": "<", b"MM": ">"}.get(data[:2])
-        if len(data) < 8 or order is None or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
+        version = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 8 else None
+        if version == 42:
+            form, (at,) = CLASSIC, struct.unpack_from(f"{order}I", data, 4)
+        elif version == 43 and len(data) >= 16 and struct.unpack_from(f"{order}HH", data, 4) == (8, 0):
+            form, (at,) = BIG, struct.unpack_from(f"{order}Q", data, 8)
+        else:
             raise TiffError("not a TIFF file")
-        (at,) = struct.unpack_from(f"{order}I", data, 4)
         seen: set[int] = set()
         while at:
             if at in seen:
                 raise TiffError("directories in a loop")
             seen.add(at)
-            fields, at = _directory(data, at, order)
+            fields, at = _directory(data, at, order, form)
             try:
                 page = _page(data, fields, order)
-            except TiffError as e:
-                page = {"error": str(e)}
-            out.append(blank | {"page": len(out)} | page)
+            except (TiffError, ValueError, MemoryError) as e:
+                page = {"error": str(e) or type(e).__name__}
+            yield blank | {"page": n} | page
+            n += 1
     except TiffError as e:
-        out.append(blank | {"page": len(out), "error": str(e)})
-    return out
+        yield blank | {"page": n, "error": str(e)}
+
+
+def decode(data: bytes) -> list[dict]:
+    """All pages of walk()."""
+    return list(walk(data))
 
 
 def encode(pages: list[np.ndarray], compression: str = "deflate", predictor: int = 2, rows_per_strip: int = 64, tile: int = 0, level: int = 1) -> bytes:
@@ -315,10 +331,10 @@ def read_pages(media: DataFrame, id_col: str, data: str = "media") -> DataFrame:
     def run(batches):
         for batch in batches:
             for k, file in enumerate(batch.column(1)):
-                if file.is_valid:  # a file at a time: its pages are decoded at once, those of a batch aren't
-                    pages = decode(file.as_py())
-                    ids = pa.concat_arrays([batch.column(0).slice(k, 1)] * len(pages)) if pages else batch.column(0).slice(0, 0)
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array([p[c] for p in pages], kinds.get(c, pa.int32())) for c in names)], [id_col, *names])
+                if file.is_valid:  # a page at a time
+                    for p in walk(file.as_py()):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([p[c]], kinds.get(c, pa.int32())) for c in names)], [id_col, *names])
+            tidy()
 
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, {PAGE_SCHEMA}")
 
@@ -360,6 +376,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             for k in range(0, len(batch), step):
                 b = batch.slice(k, step)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([store(t.as_py() or b"") for t in b.column(1)], pa.binary())], [id_col, "media"])
+            tidy()
 
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, media binary")
 

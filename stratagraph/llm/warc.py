@@ -7,12 +7,15 @@ servers send them. Of equal payloads of `min_bytes` or more, the one with the la
 stored, and the others are revisit records that refer to it.
 
 Reading walks the members, groups segments by their origin, orders them by number, checks that
-none is missing and that the length is right, and undoes the chunked framing. Whole records are
-read without any shuffle.
+none is missing and that the length is right, and undoes transfer codings (chunked, gzip, deflate).
+Payload digests of any algorithm that the platform has are checked, in hexadecimal, base 32 or base 64;
+others aren't. A broken record is a row with its error, and reading goes on at the next one: at the
+next gzip member, or the next record head of an archive that isn't compressed. Whole records are read
+without any shuffle.
 
 Defined results: null or empty html is an empty payload; rows that repeat the largest id of equal
 payloads are all stored; a null id never is the stored one if the group has another; a segment
-that is missing or repeated, a wrong length or a bad frame give `error` and no payload; an empty
+that is missing or repeated, a block shorter or longer than stated, a bad frame, number or digest give `error` and no payload; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.runtime import cut, ship, small_side
+from stratagraph.llm.runtime import cut, ship, small_side, tidy
 
 MIN_BYTES, SEGMENT_BYTES, CHUNK_BYTES, ARCHIVE_BYTES = 1000, 64 << 10, 8 << 10, 4 << 20
 _ID = "urn:x-page:"
@@ -64,11 +67,42 @@ def dechunk(body: bytes) -> bytes:
 
 
 def http_payload(block: bytes) -> bytes:
-    """The payload of an HTTP response, without transfer framing."""
+    """The payload of an HTTP response, without transfer codings."""
     head, mark, body = block.partition(b"\r\n\r\n")
     if not mark or not head.startswith(b"HTTP/"):
         raise WarcError("no HTTP head")
-    return dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
+    codings: list[str] = []
+    for line in head.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"transfer-encoding":
+            codings += [c.split(";")[0].strip().lower() for c in value.decode("latin-1").split(",")]
+    for coding in reversed([c for c in codings if c not in ("", "identity")]):
+        if coding == "chunked":
+            body = dechunk(body)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            try:
+                body = zlib.decompress(body, 47)  # either head
+            except zlib.error as e:
+                raise WarcError(f"{coding}: {e}") from None
+        else:
+            raise WarcError(f"transfer coding {coding} isn't supported")
+    return body
+
+
+def digest_of(stated: str) -> tuple[str, bytes | None]:
+    """Algorithm and bytes of a stated digest; no bytes if the algorithm isn't known."""
+    name, _, value = stated.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in hashlib.algorithms_available or not (size := hashlib.new(name).digest_size):
+        return name, None
+    for encoded, decode in ((2 * size, bytes.fromhex), (-(-size // 5) * 8, lambda v: base64.b32decode(v.upper())), (-(-size * 8 // 5), lambda v: base64.b32decode(v.upper() + "=" * (-len(v) % 8))), (-(-size // 3) * 4, lambda v: base64.b64decode(v, validate=True))):
+        if len(value) == encoded:
+            try:
+                if len(found := decode(value)) == size:
+                    return name, found
+            except ValueError:
+                continue
+    raise WarcError("a digest that can't be read")
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -78,44 +112,69 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return c.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + c.flush()
 
 
-def members(archive: bytes, step: int = 1 << 16) -> Iterator[bytes]:
-    """What each gzip member holds; an archive that isn't compressed is one."""
+def members(archive: bytes, step: int = 1 << 16) -> Iterator[bytes | WarcError]:
+    """What each gzip member holds, or the error of a broken one, after which the next is looked for; an archive that isn't compressed is one."""
     if archive[:2] != _GZIP:
         if archive:
             yield archive
         return
     at, view = 0, memoryview(archive)
     while at < len(archive):
-        d, out = zlib.decompressobj(31), []
-        while not d.eof and at < len(archive):
-            try:
+        begin, d, out = at, zlib.decompressobj(31), []
+        try:
+            while not d.eof and at < len(archive):
                 out.append(d.decompress(view[at : at + step]))
-            except zlib.error as e:
-                raise WarcError(f"gzip: {e}") from None
-            at = min(at + step, len(archive)) - len(d.unused_data)
-        if not d.eof:
-            raise WarcError("a member that doesn't end")
-        yield b"".join(out)
+                at = min(at + step, len(archive)) - len(d.unused_data)
+            if not d.eof:
+                raise zlib.error("a member that doesn't end")
+            yield b"".join(out)
+        except zlib.error as e:
+            yield WarcError(f"gzip: {e}")
+            at = _next_member(archive, begin + 2)
+
+
+def _next_member(archive: bytes, at: int) -> int:
+    """Where the next member that holds a record begins, or the end."""
+    while (at := archive.find(_GZIP + b"\x08", at)) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(archive[at : at + 4096], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return len(archive)
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of every record."""
+def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes] | WarcError]:
+    """Header fields (names in lower case) and block of every record, or the error of a broken one."""
     for data in members(archive):
+        if isinstance(data, WarcError):
+            yield data
+            continue
         at = 0
         while at < len(data):
-            end = data.find(b"\r\n\r\n", at)
-            if end < 0 or data[at : at + 5] != b"WARC/":
-                raise WarcError("no record head")
-            fields = {}
-            for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-                name, _, value = line.partition(":")
-                fields[name.strip().lower()] = value.strip()
             try:
-                size = int(fields["content-length"])
-            except (KeyError, ValueError):
-                raise WarcError("no content length") from None
-            yield fields, data[end + 4 : end + 4 + size]
-            at = end + 4 + size + 4
+                end = data.find(b"\r\n\r\n", at)
+                if end < 0 or data[at : at + 5] != b"WARC/":
+                    raise WarcError("no record head")
+                fields = {}
+                for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                    name, _, value = line.partition(":")
+                    fields[name.strip().lower()] = value.strip()
+                size = fields.get("content-length", "")
+                if not size.isdecimal():
+                    raise WarcError("no content length")
+                block = data[end + 4 : end + 4 + int(size)]
+                if len(block) < int(size):
+                    raise WarcError("a block shorter than stated")
+                if data[end + 4 + int(size) : end + 8 + int(size)] not in (b"\r\n\r\n", b""):
+                    raise WarcError("a block longer than stated")
+                yield fields, block
+                at = end + 4 + int(size) + 4
+            except WarcError as e:
+                yield e
+                at = data.find(b"\r\n\r\nWARC/", at + 1)
+                at = len(data) if at < 0 else at + 4
 
 
 def response_records(page_id: int | None, serial: str, uri: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> list[bytes]:
@@ -186,25 +245,38 @@ def _row(fields: dict[str, str], block: bytes) -> dict:
     kind = fields.get("warc-type")
     row |= {"record_id": fields.get("warc-segment-origin-id") or fields.get("warc-record-id"), "uri": fields.get("warc-target-uri"), "record_type": kind}
     row["page_id"] = _page_id(row["record_id"])
-    if "warc-payload-digest" in fields:
-        row["payload_digest"] = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
+    row["payload_digest"] = fields.get("warc-payload-digest") or None
     if "warc-segment-number" in fields:
-        return row | {"segment": int(fields["warc-segment-number"]), "total": int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, "block": block}
+        number, total = fields["warc-segment-number"], fields.get("warc-segment-total-length")
+        if not number.isdecimal() or not (total or "0").isdecimal() or row["record_id"] is None or kind == "continuation" and "warc-segment-origin-id" not in fields:
+            return row | {"error": "a segment without number or origin"}
+        return row | {"segment": int(number), "total": None if total is None else int(total), "block": block}
     if kind == "revisit":
-        length = [x.partition(b":")[2] for x in block.lower().split(b"\r\n") if x.startswith(b"content-length:")]
-        return row | {"refers_to": _page_id(fields.get("warc-refers-to")), "payload_bytes": int(length[0]) if length else None}
+        length = [x.partition(b":")[2].strip() for x in block.lower().split(b"\r\n") if x.startswith(b"content-length:")]
+        return row | {"refers_to": _page_id(fields.get("warc-refers-to")), "payload_bytes": int(length[0]) if length and length[0].isdigit() else None, **_stated(row["payload_digest"])}
+    if kind == "continuation":
+        return row | {"error": "a segment without number or origin"}
     return row | _payload(block, row["payload_digest"])
 
 
+def _stated(digest: str | None) -> dict:
+    """A revisit's digest: SHA-1 as hexadecimal, others as they are."""
+    try:
+        name, value = digest_of(digest or "")
+    except WarcError as e:
+        return {"error": str(e)}
+    return {"payload_digest": value.hex() if name == "sha1" and value else digest}
+
+
 def _payload(block: bytes, digest: str | None) -> dict:
     try:
         payload = http_payload(block)
+        name, value = digest_of(digest or "")
+        if value is not None and hashlib.new(name, payload).digest() != value:
+            raise WarcError("the digest is another")
     except WarcError as e:
-        return {"error": str(e)}
-    found = hashlib.sha1(payload).hexdigest()
-    if digest not in (None, found):
-        return {"error": "the digest is another"}
-    return {"block": payload, "payload_digest": found, "payload_bytes": len(payload)}
+        return {"error": str(e), "payload_digest": None}
+    return {"block": payload, "payload_digest": hashlib.sha1(payload).hexdigest(), "payload_bytes": len(payload)}
 
 
 def _batches(rows: Iterator[dict], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -228,13 +300,15 @@ def read_archives(archives: DataFrame, column: str = "archive") -> DataFrame:
             def rows():
                 for batch in batches:
                     for archive in batch.column(0):
-                        try:
-                            for fields, block in records(archive.as_py() or b""):
-                                if fields.get("warc-type") in ("response", "revisit", "continuation") and ("warc-segment-number" in fields) == segments:
-                                    yield _row(fields, block)
-                        except WarcError as e:
-                            if not segments:
-                                yield dict.fromkeys(_RAW.names) | {"error": str(e)}
+                        for found in records(archive.as_py() or b""):
+                            if isinstance(found, WarcError):
+                                if not segments:
+                                    yield dict.fromkeys(_RAW.names) | {"error": str(found)}
+                            elif found[0].get("warc-type") in ("response", "revisit", "continuation"):
+                                row = _row(*found)
+                                if (row["segment"] is not None) == segments:
+                                    yield row
+                    tidy()
 
             yield from _batches(rows())
 

@@ -1,5 +1,8 @@
 """TIFF files and WARC archives."""
 
+import base64
+import gzip
+import hashlib
 import struct
 import zlib
 
@@ -55,11 +58,13 @@ def test_payloads(spark):
     rows = [(1, "héllo", "m"), (2, None, "m"), (3, "", "m"), (4, "x" * 400_000, "m"), (4, "x" * 400_000, "m"), (5, "a" * 576, "m"), (None, "z", "m")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")
     got = {r.doc_id: r for r in tiff.digests(tiff.store_texts(df)).collect()}
+    for r in tiff.store_texts(df).collect():
+        assert hashlib.sha256(r.media).hexdigest() == got[r.doc_id].media_sha256 and len(r.media) == got[r.doc_id].media_bytes
     for i, t, _ in rows:
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert got[2].media_sha256 == got[3].media_sha256 and got[5].payload_bytes == 576
     pages = tiff.read_pages(tiff.store_texts(df), "doc_id").filter("doc_id = 4").collect()
     assert len(pages) == 6 and all(p.width == 576 for p in pages)
@@ -152,3 +157,62 @@ def test_floating_point_predictor():
             strip = np.diff(planes, axis=1, prepend=np.zeros((5, 1, samples), np.uint8)).astype(np.uint8).tobytes()
             (page,) = tiff.decode(tiff_file(order, ({tiff.WIDTH: 7, tiff.HEIGHT: 5, tiff.BITS: 32, tiff.SAMPLES: samples, tiff.PREDICTOR: 3, tiff.SAMPLE_FORMAT: 3}, strip)))
             assert page["error"] is None and page["data"] == x.tobytes()
+
+
+def big_tiff(order, pages):
+    """A file with 64-bit offsets of one-strip grey pages."""
+    out, link = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HHHQ", 43, 8, 0, 0)), 8
+    for w, h, strip in pages:
+        at = len(out)
+        out += strip
+        struct.pack_into(f"{order}Q", out, link, len(out))
+        entries = [(tiff.WIDTH, 4, w), (tiff.HEIGHT, 4, h), (tiff.BITS, 4, 8), (tiff.STRIP_OFFSETS, 16, at), (tiff.STRIP_COUNTS, 16, len(strip))]
+        out += struct.pack(f"{order}Q", len(entries))
+        for tag, kind, value in entries:
+            out += struct.pack(f"{order}HHQ", tag, kind, 1) + struct.pack(f"{order}Q" if kind == 16 else f"{order}I4x", value)
+        link = len(out)
+        out += bytes(8)
+    return bytes(out)
+
+
+def test_64_bit_offsets():
+    for order in "<>":
+        got = tiff.decode(big_tiff(order, [(3, 2, b"abcdef"), (2, 2, b"abc"), (1, 1, b"z")]))
+        assert [(p["data"], bool(p["error"])) for p in got] == [(b"abcdef", False), (None, True), (b"z", False)]
+    assert tiff.decode(big_tiff("<", [(1, 1, b"z")])[:12])[0]["error"]
+
+
+def raw_record(block, **fields):
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<urn:x-page:1>", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in fields.items()}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def http(body, *lines):
+    return b"\r\n".join([b"HTTP/1.1 200 OK", *lines]) + b"\r\n\r\n" + body
+
+
+def test_other_peoples_archives(spark):
+    """Digests of any algorithm and spelling, headers as others write them, cut and broken records, and what follows these."""
+    read = lambda *parts: warc.read_archives(spark.createDataFrame([(bytearray(p),) for p in parts], "archive binary")).collect()
+    body = b"hello world"
+    good = {
+        "sha1:" + hashlib.sha1(body).hexdigest(): True, "SHA1:" + base64.b32encode(hashlib.sha1(body).digest()).decode(): True, "sha256:" + hashlib.sha256(body).hexdigest().upper(): True, "md5:" + hashlib.md5(body).hexdigest(): True,
+        "sha-256:" + base64.b64encode(hashlib.sha256(body).digest()).decode(): True, "sha256:" + base64.b32encode(hashlib.sha256(body).digest()).decode(): True, "xyzzy:abc": True, "sha1:!!!": False, "sha1:" + hashlib.sha1(b"x").hexdigest(): False, "": True,
+    }
+    for digest, fine in good.items():
+        (row,) = read(raw_record(http(body), **{"WARC-Payload-Digest": digest}))
+        assert (bytes(row.payload) == body and row.payload_digest == hashlib.sha1(body).hexdigest()) if fine else row.error and row.payload is None, digest
+    framed = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    packed = gzip.compress(body)
+    assert [bytes(r.payload) for r in read(raw_record(http(framed, b"Transfer-Encoding:chunked")), raw_record(http(framed, b"transfer-encoding :  CHUNKED ")), raw_record(http(warc.chunked(packed), b"Transfer-Encoding: gzip, chunked")), raw_record(http(body, b"X-Note: transfer-encoding: chunked")))] == [body] * 4
+    cut = raw_record(http(body), **{"Content-Length": "4000"})
+    odd = raw_record(http(body), **{"WARC-Segment-Number": "one"})
+    lone = raw_record(b"part", **{"WARC-Type": "continuation", "WARC-Segment-Number": "2", "WARC-Record-ID": "<urn:x-page:7>"})
+    rows = read(cut)
+    assert len(rows) == 1 and "short" in rows[0].error
+    # an uncompressed archive goes on at the next record, a compressed one at the next member
+    for archive in (b"".join([raw_record(http(body)), b"junk in between\r\n\r\n", odd, raw_record(http(body)), lone]), b"".join([gzip.compress(raw_record(http(body))), b"\x1f\x8bbroken", gzip.compress(odd), gzip.compress(raw_record(http(body))), gzip.compress(lone)])):
+        rows = read(archive)
+        assert sorted(bytes(r.payload) for r in rows if r.error is None) == [body, body] and sum(r.error is not None for r in rows) == 3, [r.error for r in rows]
+    whole = gzip.compress(raw_record(http(body)))
+    assert [r.error is None for r in read(whole + whole[:-9])] == [True, False]
