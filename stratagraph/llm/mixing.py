@@ -5,8 +5,8 @@ Every source gets a word budget: a share of the wanted total by its weight, but
 * size, budgets are min(c, level * weight) for the one level at which they sum to the total; it is
 found from prefix sums over the sources in order of c / weight. A budget is spent on complete
 epochs first. The rest goes to a weighted sample without replacement: each document draws an
-exponential key, -ln(u) / weight, from a hash of its id, and the source's documents are taken in
-order of their keys up to the budget, the last one only if that comes closer to it.
+exponential key, -ln(u) / weight, from a hash of its id and text, and the source's documents are taken
+in order of their keys up to the budget, the last one only if that comes closer to it.
 
 Prefix sums over a source are found in two levels, so that no task gets a whole source: keys fall
 into buckets of a few thousand documents, bucket totals are summed up first, and then the rows
@@ -34,9 +34,9 @@ LEAST_QUALITY = 0.05
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def uniform(id_col: Column, seed: str) -> Column:
-    """In (0, 1), from 52 bits of the MD5 of seed and id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 13), 16, 10)
+def uniform(id_col: Column, text: Column, seed: str) -> Column:
+    """In (0, 1), from 52 bits of the MD5 of seed, id and the text's MD5: rows with one id, or none, are spread too."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
@@ -71,8 +71,8 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     """doc_id, source, size, source_size, target and taken (words of the document in the mix) for each row, and the columns `carry`."""
     t = F.col(text).cast("string")
     q = F.greatest(F.col(quality_col).cast("double"), F.lit(1e-9)) if quality_col else quality(t)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(t, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), q.alias("q"), *carry)
-    slim = cut(slim.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("q")))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(t, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), q.alias("q"), uniform(F.col(id_col), t, seed).alias("u"), *carry)
+    slim = cut(slim.withColumn("key", -F.log("u") / F.col("q")).drop("u"))
     totals = slim.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"), F.avg("q").alias("__q"))
     totals = cut(totals)
     plan = budgets(totals.select("source", "n_docs", "source_size"), weights, total_share, max_epochs)
@@ -101,7 +101,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     coalesce(greatest(length(regexp_replace(text, '\P{L}+', '', 'g'))::DOUBLE / greatest(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 1)::DOUBLE, 0.05::DOUBLE), 0.05::DOUBLE) AS q,
-    (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 k AS (SELECT *, -ln(u) / q AS key FROM d),
 s AS (

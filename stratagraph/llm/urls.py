@@ -4,9 +4,10 @@ Segments of a path become shapes (digit runs, hexadecimal keys and UUIDs are wil
 the root of each host's tree down, a node with more than BRANCH children keeps those with at least
 1 / BRANCH of its pages, and the others become one wildcard; only segments that are wildcards as a
 whole are left out. Then, from the deepest level up to the root, branches that differ in one segment
-merge into one where their label rates can't be told apart from the pooled rate (|z| < Z); a segment
-with a digit run in it, already a wildcard in part, stays where there is no other. A template's purity is its labelled pages' rate, shrunk towards its host's, which is
-shrunk towards the rate over all; a template below `purity` is blocked.
+merge into one where their label rates can't be told apart from the pooled rate (|z| < Z); branches
+without labels join them if no other one differs, and a branch that is alone keeps its segment. A
+template's purity is its labelled pages' rate, shrunk towards its host's, which is shrunk towards the
+rate over all; a template below `purity` is blocked.
 
 The tree is built from counts per (host, shape path), combined before any shuffle; pages meet
 their template again by one join on narrow rows.
@@ -97,12 +98,15 @@ def _branched(nodes: DataFrame, branch: int) -> DataFrame:
 def _merged(nodes: DataFrame, d: int, z: float) -> DataFrame:
     """The nodes, all longer than d, with a wildcard at d where their branch's label rate is like that of all that differ only there."""
     t = nodes.withColumn("star", F.when(F.get("segs", F.lit(d)).isin(*WILD), F.col("segs")).otherwise(_starred(d)))
-    t = t.withColumns({"own": F.array_join("segs", "/"), "general": F.array_join("star", "/"), "mixed": F.get("segs", F.lit(d)).contains("{")})
-    mine = t.groupBy("host", "general", "own").agg(F.first("mixed").alias("mixed"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+    t = t.withColumns({"own": F.array_join("segs", "/"), "general": F.array_join("star", "/")})
+    mine = t.groupBy("host", "general", "own").agg(F.sum("labelled").alias("l"), F.sum("good").alias("g"))
     pool = mine.groupBy("host", "general").agg(F.try_divide(F.sum("g"), F.sum("l")).alias("p"), F.count(F.lit(1)).alias("branches"))
-    mine = mine.join(pool, ["host", "general"])
-    alike = (F.col("l") == 0) | (F.abs(F.col("g") / F.greatest(F.col("l"), F.lit(1e-9)) - F.col("p")) <= z * F.sqrt(F.col("p") * (1 - F.col("p")) / F.greatest(F.col("l"), F.lit(1e-9))))
-    mine = mine.select("host", "general", "own", (F.coalesce(alike, F.lit(True)) & (~F.col("mixed") | (F.col("branches") > 1))).alias("alike"))
+    l = F.greatest(F.col("l"), F.lit(1e-9))
+    far = (F.col("l") > 0) & (F.abs(F.col("g") / l - F.col("p")) > z * F.sqrt(F.col("p") * (1 - F.col("p")) / l))
+    mine = cut(mine.join(pool, ["host", "general"]).select("host", "general", "own", "l", "branches", F.coalesce(far, F.lit(False)).alias("far")))
+    apart = mine.groupBy("host", "general").agg(F.max("far").alias("apart"))
+    alike = (F.col("branches") > 1) & ~F.col("far") & ((F.col("l") > 0) | ~F.col("apart"))
+    mine = mine.join(apart, ["host", "general"]).select("host", "general", "own", alike.alias("alike"))
     return t.join(mine, ["host", "general", "own"]).select("node", "host", F.when(F.col("alike"), F.col("star")).otherwise(F.col("segs")).alias("segs"), "n", "labelled", "good")
 
 
@@ -180,8 +184,9 @@ a AS (SELECT *, list_max(list_transform(segs, lambda x, i: CASE WHEN contains(x,
 e AS (SELECT node, host, labelled, good, '/' || array_to_string(segs, '/') AS own,
   '/' || array_to_string(CASE WHEN coalesce(pos, 0) = 0 THEN segs ELSE segs[1:pos - 1] || ['{{*}}'] || segs[pos + 1:] END, '/') AS general FROM a),
 m AS (SELECT host, general, own, sum(labelled) AS l, sum(good) AS g FROM e GROUP BY ALL),
-p AS (SELECT *, CASE WHEN sum(l) OVER w > 0 THEN sum(g) OVER w / sum(l) OVER w END AS p FROM m WINDOW w AS (PARTITION BY host, general)),
-q AS (SELECT host, general, own, CASE WHEN coalesce(l = 0 OR abs(g / greatest(l, 1e-9) - p) <= {Z} * sqrt(p * (1 - p) / greatest(l, 1e-9)), true) THEN general ELSE own END AS template FROM p),
+p AS (SELECT *, count(*) OVER w AS branches, CASE WHEN sum(l) OVER w > 0 THEN sum(g) OVER w / sum(l) OVER w END AS p FROM m WINDOW w AS (PARTITION BY host, general)),
+z AS (SELECT *, coalesce(l > 0 AND abs(g / greatest(l, 1e-9) - p) > {Z} * sqrt(p * (1 - p) / greatest(l, 1e-9)), false) AS far FROM p),
+q AS (SELECT host, general, own, CASE WHEN branches > 1 AND NOT far AND (l > 0 OR NOT bool_or(far) OVER (PARTITION BY host, general)) THEN general ELSE own END AS template FROM z),
 f AS (SELECT e.*, q.template FROM e JOIN q USING (host, general, own)),
 v AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good) / sum(labelled) ELSE 1.0::DOUBLE END AS overall FROM f),
 b AS (SELECT host, (sum(good) + {STRENGTH} * (SELECT overall FROM v)) / (sum(labelled) + {STRENGTH}) AS p_host FROM f GROUP BY host),

@@ -34,7 +34,15 @@ def test_impure_template_is_blocked_and_sparse_ones_shrink(spark):
 
 def test_variable_segments_become_wildcards(spark):
     rows = [(i, f"http://h.net/user-{chr(97 + i % 26)}{chr(97 + i // 26)}/post", "", "") for i in range(200)]
-    assert {x.template for x in judged(spark, rows).values()} == {"/{*}/{*}"}
+    assert {x.template for x in judged(spark, rows).values()} == {"/{*}/post"}
+
+
+def test_branches_without_labels_join_only_those_that_agree(spark):
+    rows = [(k * 20 + i, f"http://h.net/{'abc'[k]}/{k * 20 + i}", "", "") for k in range(3) for i in range(20)]
+    told = judged(spark, rows, [(i, float(i >= 20)) for i in range(40)])
+    assert {x.template for x in told.values()} == {"/a/{n}", "/b/{n}", "/c/{n}"}
+    like = judged(spark, rows, [(i, float(i % 2)) for i in range(40)])
+    assert {x.template for x in like.values()} == {"/{*}/{n}"}
 
 
 def test_segments_with_a_number_become_wildcards_too(spark):
