@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import words as W
 from stratagraph.llm.components import components
-from stratagraph.llm.runtime import cut, ship, small_side, text_batches, tidy
+from stratagraph.llm.runtime import BROADCAST_ROWS, cut, ship, small_side, text_batches, tidy
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
@@ -46,6 +46,8 @@ SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 12
 IDF_FLOOR = 0.75
 #: Rounds in which a bucket's texts meet one of them.
 STAR_ROUNDS = 2
+#: Rows of a bucket or token from which its rows aren't gathered in one task, but met where they are or in SALTS parts.
+HOT_ROWS, SALTS = 1_000, 32
 _TABLE_BITS = 13
 
 
@@ -213,9 +215,22 @@ def _shingle_lists(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "tid long, sh array<int>")
 
 
+def _with_lists(pairs: DataFrame, lists: DataFrame, end: str, name: str) -> DataFrame:
+    """The pairs with the lists of one end as `name`: ends of very many pairs are dealt out in parts, each with the list."""
+    own = lists.select(F.col("tid").alias(end), F.col("sh").alias(name))
+    hot = cut(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select(F.col(end).alias("__e")))
+    if hot.isEmpty():
+        return pairs.join(own, end)
+    hot = small_side(hot)
+    is_hot = lambda df, how: df.join(hot, F.col(end) == F.col("__e"), how)
+    parts = is_hot(pairs, "left_semi").withColumn("__salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    many = is_hot(own, "left_semi").withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return is_hot(pairs, "left_anti").join(own, end).unionByName(parts.join(many, [end, "__salt"]).drop("__salt"))
+
+
 def _verified(pairs: DataFrame, lists: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs (a, b) with a similarity of at least the threshold."""
-    both = pairs.join(lists.select(F.col("tid").alias("a"), F.col("sh").alias("x")), "a").join(lists.select(F.col("tid").alias("b"), F.col("sh").alias("y")), "b").select("a", "b", "x", "y")
+    both = _with_lists(_with_lists(pairs, lists, "a", "x"), lists, "b", "y").select("a", "b", "x", "y")
 
     def run(batches):
         table = idf.value
@@ -263,11 +278,40 @@ def _prefixes(lists: DataFrame, idf, threshold: float) -> DataFrame:
     return lists.mapInArrow(run, "token int, tid long, rest double, weight double")
 
 
+def _by_bucket(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """The rows (bucket, tid, ..) with the columns of `side`, which has a row for a bucket and `n`, its rows: those of buckets with very many stay where they are."""
+    side = cut(side.withColumnRenamed("bucket", "__b"))
+    hot, cold = side.filter(F.col("n") >= HOT_ROWS), side.filter(F.col("n") < HOT_ROWS).drop("n")
+    same = F.col("bucket") == F.col("__b")
+    if hot.isEmpty():
+        return rows.join(cold, same).drop("__b")
+    hot = small_side(hot.drop("n"))
+    met = rows.join(hot.select("__b"), same, "left_anti").join(cold, same).drop("__b")
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return met.unionByName(rows.join(hot, same).drop("__b"))
+    parts = hot.withColumn("__s", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("tid"), F.lit(SALTS)).cast("int"))
+    return met.unionByName(salted.join(parts, (F.col("bucket") == F.col("__b")) & (F.col("__salt") == F.col("__s"))).drop("__b", "__s", "__salt"))
+
+
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The buckets that hold several classes: bucket, tid, lead, rarity, comp, and main, the lead's class."""
     known = members.join(comp, members["tid"] == comp["node"], "left").select("bucket", "tid", "lead", "rarity", F.coalesce("component", "tid").alias("comp"))
-    spread = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("tid") == F.col("lead"), F.col("comp"))).alias("main")).filter("low != high")
-    return cut(known.join(spread.select("bucket", "main"), "bucket"))
+    spread = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.when(F.col("tid") == F.col("lead"), F.col("comp"))).alias("main"), F.count(F.lit(1)).alias("n")).filter("low != high")
+    return cut(_by_bucket(known, spread.select("bucket", "main", "n")))
+
+
+def _by_token(x: DataFrame, y: DataFrame, near) -> DataFrame:
+    """Rows of x and y with one token that fulfil `near`; a token with very many rows is dealt out in parts of y, each with all of x."""
+    hot = cut(y.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_ROWS).select(F.col("token").alias("__t")))
+    if hot.isEmpty():
+        return x.join(y, "token").filter(near)
+    hot = small_side(hot)
+    is_hot = lambda df, how: df.join(hot, F.col("token") == F.col("__t"), how)
+    parts = is_hot(y, "left_semi").withColumn("__salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    all_x = is_hot(x, "left_semi").withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    split = all_x.join(parts, ["token", "__salt"]).drop("__salt")
+    return is_hot(x, "left_anti").join(is_hot(y, "left_anti"), "token").unionByName(split).filter(near)
 
 
 def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
@@ -283,13 +327,13 @@ def _joined(comp: DataFrame, found: DataFrame) -> DataFrame:
 
 def _classes(members: DataFrame, lists: DataFrame, idf, threshold: float) -> DataFrame:
     """node and component: the classes that all links inside the buckets (bucket, tid, rarity, lead) make."""
-    pairs = members.filter("tid != lead").select(*_pairs("lead", "tid")).distinct()
+    pairs = cut(members.filter("tid != lead").select(*_pairs("lead", "tid")).distinct())
     comp = components(cut(_verified(pairs, lists, idf, threshold)))
     for _ in range(STAR_ROUNDS - 1):  # the most typical of each bucket's other texts, with all that aren't of its class
         open_ = _open(members, comp)
-        other = open_.filter("comp != main").groupBy("bucket").agg(F.min(F.struct("rarity", "tid", "comp")).alias("l"))
-        met = open_.filter("tid != lead").join(other, "bucket").filter("comp != l.comp").select("tid", F.col("l.tid").alias("leader"))
-        comp = _joined(comp, cut(_verified(met.select(*_pairs("leader", "tid")).distinct(), lists, idf, threshold)))
+        other = open_.groupBy("bucket").agg(F.min(F.when(F.col("comp") != F.col("main"), F.struct("rarity", "tid", "comp"))).alias("l"), F.count(F.lit(1)).alias("n"))
+        met = _by_bucket(open_.filter("tid != lead"), other).filter("comp != l.comp").select("tid", F.col("l.tid").alias("leader"))
+        comp = _joined(comp, cut(_verified(cut(met.select(*_pairs("leader", "tid")).distinct()), lists, idf, threshold)))
     # what is still outside its bucket's main class meets, exactly, all that it may be alike to
     open_ = _open(members, comp)
     if open_.isEmpty():
@@ -299,8 +343,8 @@ def _classes(members: DataFrame, lists: DataFrame, idf, threshold: float) -> Dat
     x = rows.filter("loose").select("token", F.col("tid").alias("a"), F.col("rest").alias("ra"), F.col("weight").alias("wa"), F.col("comp").alias("ca"))
     y = rows.select("token", F.col("tid").alias("b"), F.col("rest").alias("rb"), F.col("weight").alias("wb"), F.col("comp").alias("cb"), F.col("loose").alias("lb"))
     least = threshold / (1 + threshold) * (F.col("wa") + F.col("wb")) - 1e-6
-    near = (x["token"] == y["token"]) & (F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least) & (~F.col("lb") | (F.col("a") < F.col("b")))
-    met = x.join(y, near).select(*_pairs("a", "b")).distinct()
+    near = (F.col("ca") != F.col("cb")) & (F.col("ra") >= least) & (F.col("rb") >= least) & (~F.col("lb") | (F.col("a") < F.col("b")))
+    met = cut(_by_token(x, y, near).select(*_pairs("a", "b")).distinct())
     return _joined(comp, cut(_verified(met, lists, idf, threshold)))
 
 
@@ -317,7 +361,7 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", thresho
     texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
     buckets = texts.select("tid", "rarity", F.explode(F.array(*bands)).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rarity", "tid")).alias("l")).filter("n > 1")
-    members = cut(buckets.join(shared.select("bucket", F.col("l.tid").alias("lead")), "bucket"))
+    members = cut(_by_bucket(buckets, shared.select("bucket", F.col("l.tid").alias("lead"), "n")))
     wanted = members.select("tid").distinct().join(texts.select("tid", "key", "rep"), "tid")
     wanted = small_side(cut(wanted.select("tid", F.col("key").alias("__k"), "rep")))
     # one row of each text that shares a bucket; ids spread the rows of a text with very many copies

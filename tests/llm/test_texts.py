@@ -134,6 +134,29 @@ def test_sparse_sites_shrink(spark):
     assert p["bad"] < p["new"] < p["good"] and abs(p["new"] - 0.5) < 0.1
 
 
+def test_own_evidence_is_left_out_of_the_site(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 60, 300), "en", "many") for i in range(60)] + [(100, prose(rng, 60, 300), "en", "lone0"), (101, prose(rng, 60, 300), "en", "lone1")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 0), (101, 1), (102, None)], "doc_id long, quality int")
+    by = {r.doc_id: r for r in quality.classify(frame(spark, rows), labels).collect()}
+    mean = (30 + 1) / 62
+    assert math.isclose(by[100].p_path, by[101].p_path) and math.isclose(by[100].p_path, mean)  # nothing else is known of their sites
+    assert by[0].p_path > by[1].p_path  # one's own label is missing from the rest
+
+
+def test_words_tell_quality_apart(spark):
+    rng = random.Random(7)
+    words = {0: [f"bad{i}" for i in range(40)], 1: [f"fine{i}" for i in range(40)]}
+    rows = [(i, " ".join(rng.choices(words[i % 2], k=60)), "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    assert all(r.kept == bool(r.doc_id % 2) for r in quality.classify(frame(spark, rows), labels).filter("doc_id >= 200").collect())
+
+
+def test_word_features_match_brute_force():
+    slots, values, begins = quality.word_features(*raw(["A b a", "", "c"]))
+    assert np.diff(begins).tolist() == [2, 0, 1] and np.allclose(sorted(values[:2]), sorted([(1 + math.log(2)) / math.hypot(1 + math.log(2), 1), 1 / math.hypot(1 + math.log(2), 1)])) and values[2] == 1
+
+
 def edited(rng, text, n):
     w = text.split()
     for _ in range(n):
