@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import langid, mixing, neardup, pieces, quality
 from stratagraph.llm.queries import segmented
-from stratagraph.llm.runtime import cut, shared_folder, small_side
+from stratagraph.llm.runtime import cut, shared_folder
 
 #: Least share of a text's words that its language must have for the text to stay.
 LEAST_LANGUAGE_SHARE = 0.5
+#: Bytes of bitmaps that may be broadcast: a bit for each of half a billion rows.
+BITMAP_BYTES = 64 << 20
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -27,14 +29,21 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _rows_of(rows: DataFrame, chosen: DataFrame, copies: bool = False) -> DataFrame:
-    """The numbered rows that are in `chosen` (n, copies): as they are, or so many times.
+    """The numbered rows that are in `chosen` (n, copies): as they are, or so many times (MAX_EPOCHS at most).
 
-    Only numbers are in `chosen`; it is broadcast if a count shows it to be small.
+    The choice is gathered into bitmaps, a bit for a row, in buckets of 32,768 consecutive numbers, so that the rows
+    themselves stay where they are: bitmaps of up to BITMAP_BYTES are broadcast, larger ones join by bucket.
     """
-    chosen = small_side(cut(chosen.select(F.col("n").alias("m"), *(["copies"] if copies else []))))
-    out = rows.select("row", "n").join(chosen, F.col("n") == F.col("m"), "inner")
+    levels = range(1, int(mixing.MAX_EPOCHS) + 1 if copies else 2)
+    marks = chosen.select(F.shiftright("n", 15).alias("bucket"), F.col("n").bitwiseAND(32767).alias("place"), (F.col("copies") if copies else F.lit(1)).alias("copies"))
+    bits = [F.expr(f"bitmap_construct_agg(place) FILTER (WHERE copies >= {k})").alias(f"bits{k}") for k in levels]
+    bits = cut(marks.repartition("bucket").groupBy("bucket").agg(*bits))
+    if bits.count() * 4096 * len(levels) <= BITMAP_BYTES:
+        bits = F.broadcast(bits)
+    held = lambda k: F.expr(f"coalesce(shiftright(cast(conv(hex(substring(bits{k}, int((n & 32767) div 8) + 1, 1)), 16, 10) as int), int(n & 7)) & 1, 0)")
+    out = rows.select("row", "n").join(bits, F.shiftright("n", 15) == F.col("bucket")).withColumn("copies", sum((held(k) for k in levels), F.lit(0))).filter("copies > 0")
     if copies:
-        out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("row.*")
 
 
