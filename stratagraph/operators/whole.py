@@ -142,6 +142,8 @@ def resolution_kinds(g: Graph) -> DataFrame:
     return e.groupBy("resolution_kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "resolution_kind")
 
 
+#: More rows than a list can have.
+EVERYTHING = 2**31 - 1
 #: The dashboard's lists: title, intent, limit.
 DASHBOARD = (
     ("top_imported_modules", "find_top_imported_modules", 10), ("top_called_functions", "find_top_called_functions", 10), ("top_implemented_interfaces", "find_top_implemented_interfaces", 10),
@@ -154,7 +156,7 @@ DASHBOARD = (
 
 
 def dashboard(g: Graph) -> dict:
-    """Totals, histograms and the lists; a list that fills its limit says so."""
+    """Totals, histograms and the lists: the first rows of each, and how many there are without the limit."""
     from stratagraph.plans.catalog import Request, build
 
     out: dict = totals(g).first().asDict()
@@ -162,7 +164,8 @@ def dashboard(g: Graph) -> dict:
     out["resolution_kinds"] = {r["resolution_kind"]: r["n"] for r in resolution_kinds(g).collect()}
     for title, intent, limit in DASHBOARD:
         rows = [r.asDict() for r in build(g, Request(intent, limit=limit)).collect()]
-        out[title] = {"rows": rows, "count": len(rows), "capped": len(rows) == limit}
+        count = len(rows) if len(rows) < limit else build(g, Request(intent, limit=EVERYTHING)).count()
+        out[title] = {"rows": rows, "count": count, "capped": count > len(rows)}
     return out
 
 
@@ -177,13 +180,32 @@ def render(board: dict, form: str = "text") -> str:
             rows = value.get("rows")
             out += [f"{lines}{k}: {v}" for k, v in value.items()] if rows is None else [f"{lines}{r.get('canonical_name')}" for r in rows]
             if value.get("capped") is True:
-                out.append(f"{lines}(the first {value['count']})")
+                out.append(f"{lines}(of {value['count']})")
     return "\n".join(out)
 
 
-def graph_json(w: Whole, workspace: str, snapshot_id: int, totals_row, most: int = 200_000) -> dict:
-    """The document of a (filtered) graph; one that is larger than `most` is an error, not a cut."""
-    nodes, edges = w.nodes.orderBy("id").limit(most + 1).collect(), w.edges.orderBy("src", "dst", "kind").limit(most + 1).collect()
-    if max(len(nodes), len(edges)) > most:
-        raise ValueError(f"more than {most} nodes or edges; filter first")
-    return {"workspace": workspace, "snapshot_id": snapshot_id, "nodes": [r.asDict() for r in nodes], "edges": [r.asDict() for r in edges], "total_nodes": totals_row["total_nodes"], "total_edges": totals_row["total_edges"]}
+def document_lines(w: Whole, workspace: str, snapshot_id: int, totals_row) -> DataFrame:
+    """The document of a (filtered) graph as lines in order, (at, line): together they are one JSON text."""
+    head = json.dumps({"workspace": workspace, "snapshot_id": snapshot_id, "total_nodes": totals_row["total_nodes"], "total_edges": totals_row["total_edges"]})
+    spark = w.nodes.sparkSession
+    options = {"ignoreNullFields": "false"}
+    nodes = w.nodes.select(F.struct(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c")).alias("at"), F.to_json(F.struct(*NODE), options).alias("row"))
+    edges = w.edges.select(F.struct(F.lit(3).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("kind").alias("c")).alias("at"), F.to_json(F.struct(*EDGE), options).alias("row"))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        first = rows.agg(F.min(F.struct("at", "row")).alias("m"))  # the row that no comma stands before
+        return rows.crossJoin(F.broadcast(first)).select("at", F.concat(F.when(F.struct("at", "row") == F.col("m"), "").otherwise(","), F.col("row")).alias("line"))
+
+    mark = lambda part, text: (({"part": part, "a": "", "b": "", "c": ""}), text)
+    frame = spark.createDataFrame([mark(0, head[:-1] + ', "nodes": ['), mark(2, '], "edges": ['), mark(4, "]}")], "at struct<part:int,a:string,b:string,c:string>, line string")
+    return frame.unionByName(listed(nodes)).unionByName(listed(edges))
+
+
+def write_graph_json(w: Whole, workspace: str, snapshot_id: int, totals_row, path: str) -> None:
+    """Writes the document from the executors, of any size: files in order, which one after the other are one JSON text."""
+    document_lines(w, workspace, snapshot_id, totals_row).orderBy("at").select("line").write.mode("overwrite").text(path)
+
+
+def graph_json(w: Whole, workspace: str, snapshot_id: int, totals_row) -> dict:
+    """The document of a graph that its caller wants in memory; others write_graph_json()."""
+    return json.loads("\n".join(r["line"] for r in document_lines(w, workspace, snapshot_id, totals_row).orderBy("at").select("line").toLocalIterator()))

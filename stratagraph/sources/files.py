@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +28,58 @@ def lines(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("text").option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def search(spark: SparkSession, root: str, pattern: str, ignore_case: bool = False) -> DataFrame:
-    """Lines that match a regular expression."""
-    return lines(spark, root).filter(F.col("text").rlike(("(?i)" if ignore_case else "") + pattern))
+def glob_pattern(glob: str) -> str:
+    """A glob as a regular expression: ** crosses directories, * and ? don't, {a,b} are alternatives; one without a slash fits in any directory."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+            continue
+        if glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+            continue
+        if c == "[" and "]" in glob[i + 2 :]:
+            end = glob.index("]", i + 2)
+            inside = glob[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
+            continue
+        depth += (c == "{") - (c == "}" and depth > 0)
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:"}.get(c) or (")" if c == "}" and depth >= 0 and "{" in glob[:i] else "|" if c == "," and depth else re.escape(c))
+        i += 1
+    return ("^" if "/" in glob else "^(?:.*/)?") + out.lstrip("/") + "$"
+
+
+def matching(df: DataFrame, globs: list[str] | None, column: str = "file_path") -> DataFrame:
+    """The rows whose path fits any of the globs and none of those that begin with !."""
+    wanted = [glob_pattern(g) for g in globs or [] if not g.startswith("!")]
+    unwanted = [glob_pattern(g[1:]) for g in globs or [] if g.startswith("!")]
+    if wanted:
+        df = df.filter(F.col(column).rlike("|".join(f"(?:{p})" for p in wanted)))
+    for p in unwanted:
+        df = df.filter(~F.col(column).rlike(p))
+    return df
+
+
+def find(spark: SparkSession, root: str, globs: list[str] | None = None, skip: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """file_path, length and modified of the files that the globs fit."""
+    return matching(walk(spark, root, (), skip), globs).drop("path")
+
+
+def search(spark: SparkSession, root: str, pattern: str, ignore_case: bool = False, globs: list[str] | None = None, word: bool = False, literal: bool = False) -> DataFrame:
+    """file_path, line, column and text of the lines that match a regular expression, or that hold a text as it is."""
+    pattern = re.escape(pattern) if literal else pattern
+    pattern = ("(?i)" if ignore_case else "") + (rf"\b(?:{pattern})\b" if word else pattern)
+    files = matching(walk(spark, root, (), ()), globs).select("file_path", "path")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("__p"), "content")
+    texts = files.join(read, F.col("path") == F.col("__p")).select("file_path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line", "text"))
+    at = F.regexp_instr("text", F.lit(pattern))
+    return texts.filter(F.col("text").rlike(pattern)).select("file_path", (F.col("line") + 1).cast("long").alias("line"), at.alias("column"), "text")
 
 
-def count_matches(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    return search(spark, root, pattern).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+def count_matches(spark: SparkSession, root: str, pattern: str, **options) -> DataFrame:
+    """file_path and how many of its lines match."""
+    return search(spark, root, pattern, **options).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fixtures(spark: SparkSession, root: str, schema: str) -> DataFrame:
