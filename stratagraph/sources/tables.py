@@ -19,10 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context._stratagraph_tables
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders of the session's intermediate tables, in the order in which they came."""
+    return spark.sparkContext.__dict__.setdefault("_stratagraph_made", [])
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables made since so many of them; nothing that reads them may be used any more."""
+    paths = made(spark)
+    for path in paths[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del paths[since:]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The rows from a written table, which ends the lineage of an iteration and outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/strata-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

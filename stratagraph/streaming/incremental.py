@@ -2,12 +2,14 @@
 
 Changes are debounced per file by an event-time session, whose gap is the debounce; when a session
 closes, the file is purged and its new facts are put in. Facts pass a watermark within which repeats
-of a canonical key are dropped. Each micro-batch writes a new version of the snapshot and then
-commits it; the version is derived from the batch id, so a batch that runs again changes nothing.
+of a canonical key are dropped. Each micro-batch adds a delta to the snapshot, which costs what has
+changed; the delta is named by the batch id, so a batch that runs again changes nothing. After many
+deltas the snapshot is written whole.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -34,23 +36,24 @@ def event_counts(events: DataFrame, window: str = "1 hour", slide: str | None =
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def apply_batch(store: SnapshotStore, snapshot_id: int, changed: DataFrame, facts: DataFrame) -> int:
-    """Purges the changed files (file_path) and puts in the facts' rows; the new version."""
+#: Deltas after which a snapshot is written whole.
+MANY_DELTAS = 20
+
+
+def apply_batch(store: SnapshotStore, snapshot_id: int, changed: DataFrame, facts: DataFrame, batch: str | None = None) -> bool:
+    """Purges the changed files (file_path) and puts in the facts' rows, unless the snapshot has the batch already: whether it did."""
     good, _ = ingest.validate(facts)
-    new = ingest.to_rows(ingest.merge(good), snapshot_id)
-    kept = ingest.purge_files(store.tables(snapshot_id), changed)
-    keys = {"nodes": "node_id", "edges": "edge_id", "evidence": "evidence_id", "observations": "observation_id"}
-    version = store.write(snapshot_id, {t: ingest.upsert(kept[t], new[t], [k]) for t, k in keys.items()})
-    store.commit(snapshot_id, version)
-    return version
+    return store.add_delta(snapshot_id, batch or uuid.uuid4().hex, changed, ingest.to_rows(ingest.merge(good), snapshot_id))
 
 
-def sink(store: SnapshotStore, snapshot_id: int, extract: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over changes: extract() gives the facts of the changed files."""
+def sink(store: SnapshotStore, snapshot_id: int, extract: Callable[[DataFrame], DataFrame], query: str = "changes", many: int = MANY_DELTAS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over changes: extract() gives the facts of the changed files. `query` tells streams into one snapshot apart."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         changed = batch.select("file_path").distinct()
-        if not changed.isEmpty():
-            apply_batch(store, snapshot_id, changed, extract(changed))
+        if changed.isEmpty() or not apply_batch(store, snapshot_id, changed, extract(changed), f"{query}-{batch_id}"):
+            return
+        if batch_id and batch_id % many == 0:
+            store.compact(snapshot_id)
 
     return write

@@ -45,11 +45,20 @@ def test_snapshots_and_files(spark, tmp_path):
     store.commit(snap, store.write(snap, rows))
     assert store.latest_ready("/ws") == snap and store.graph(snap).of("calls").count() == 2
     changed = spark.createDataFrame([("a.c",)], "file_path string")
-    incremental.apply_batch(store, snap, changed, facts(spark, [SYMBOL | {"name": "f2"}]))
+    assert incremental.apply_batch(store, snap, changed, facts(spark, [SYMBOL | {"name": "f2"}]), "b1")
+    assert not incremental.apply_batch(store, snap, changed, facts(spark, [SYMBOL | {"name": "again"}]), "b1")  # a batch that runs again
     g = store.graph(snap)
     assert {r.canonical_name for r in g.nodes.collect()} == {"f2", "g"}
     left = g.edges.collect()  # the edge from b.c stays, dangling; that from a.c is gone
     assert [(r.src, r.dst) for r in left] == [("g", None)]
+    back = EDGE | {"src_symbol": "f2", "dst_symbol": "g", "source_kind": "file_line", "evidence_file": "a.c", "evidence_line": 4}
+    incremental.sink(store, snap, lambda c: facts(spark, [SYMBOL, SYMBOL | {"name": "f2", "line": 9}, back]), many=1)(changed, 1)  # as one version again
+    tables = store.tables(snap)
+    assert {(r.canonical_name, r.line) for r in tables["nodes"].collect()} == {("f", 1), ("f2", 9), ("g", 1)} and {(r.src, r.dst) for r in store.graph(snap).edges.collect()} == {("g", "f"), ("f2", "g")} and tables["evidence"].count() == 1
+    row = store.current().filter(f"snapshot_id = {snap}").first()
+    assert row.version == 2 and row.deltas is None
+    ids = [store.begin("/w2", "h", "1") for _ in range(2)]
+    assert len(set(ids)) == 2
     other = store.begin("/ws", "abc", "2")
     store.fail(other, "no compiler")
     assert store.latest_ready("/ws") == snap
