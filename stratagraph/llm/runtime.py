@@ -55,6 +55,24 @@ def tidy() -> None:
         trim(0)
 
 
+def made(spark: SparkSession) -> list[str]:
+    """The folders of the session's intermediate tables, in the order in which they came."""
+    return spark.sparkContext.__dict__.setdefault("_stratagraph_cuts", [])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables made since so many of them; nothing that reads them may be used any more."""
+    paths = made(spark)
+    for path in paths[since:]:
+        delete(spark, path)
+    del paths[since:]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: the lineage ends there, and lost executors lose nothing.
 
@@ -64,6 +82,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strata/{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
+    made(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
