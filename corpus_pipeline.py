@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import langid, mixing, neardup, pieces, quality
 from stratagraph.llm.queries import segmented
-from stratagraph.llm.runtime import cut, shared_folder
+from stratagraph.llm.runtime import cut, delete, made, release, shared_folder
 
 #: Least share of a text's words that its language must have for the text to stay.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -116,11 +116,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; what lies between them is in the shared checkpoint folder."""
+    """The stages one after the other; what lies between them is in the shared checkpoint folder, and goes once it has been read."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        path, since = f"{folder}/{k}-{name}", len(made(spark))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, since)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
