@@ -12,13 +12,12 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stratagraph.extract import c, packs, rust, typescript
 from stratagraph.extract.facts import MARK, Facts
 from stratagraph.operators.ingest import FACTS
 from stratagraph.sources import files
-from stratagraph.sources.tables import settle
+from stratagraph.sources.tables import settle, ship
 
 # How languages look for the file of a path, in order.
 _JS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs")
@@ -37,6 +36,7 @@ def parsed(sources: DataFrame, language: str, **options) -> DataFrame:
     """Facts of the files (file_path, text), and what they still need. A file that a front end can't read gives its module only, with the error."""
     schema = f"{FACTS}, {_EXTRA}"
     arrow, extract = _arrow(schema), _LANGUAGES[language]
+    ship(sources.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -53,7 +53,7 @@ def parsed(sources: DataFrame, language: str, **options) -> DataFrame:
                 for k in range(0, len(f.rows), 10_000):
                     yield pa.RecordBatch.from_pylist(f.rows[k : k + 10_000], arrow)
 
-    out = sources.select(F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else schema)
+    out = sources.select(F.col("file_path").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
     return out.withColumn("seq", F.monotonically_increasing_id())
 
 

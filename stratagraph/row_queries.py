@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.operators import hops, ingest, reconcile, respond
+from stratagraph.extract.producers import RUST, TYPESCRIPT, C
+from stratagraph.operators import cache, hops, ingest, reconcile, respond
 from stratagraph.plans.catalog import CATALOG
 from stratagraph.plans.graph import star_graph
 from stratagraph.sources.star import duckdb_ctes
@@ -515,3 +516,194 @@ def relation_verifier(spark, sf_dir):
     odd = e("extends", "calls").withColumn("dst", F.concat("dst", F.lit("?")))
     unknown = e("extends").withColumn("entity", F.concat("entity", F.lit("?")))
     return reconcile.verify(e("calls", "imports").unionByName(odd).unionByName(unknown), g.named, g.nodes)
+
+
+# Cached answers
+
+
+@_query("cache_fresh", _duck("SELECT p_partkey AS part, sha256('f' || p_size || '.c:' || p_partkey || ':' || p_size) AS cache_key FROM part WHERE p_size % 7 <> 0 AND (p_size + 1) % 7 <> 0 AND p_size < 45"))
+def cache_fresh(spark, sf_dir):
+    """Parts as questions that rest on two files each; the files of every seventh size have changed, the largest can't be read."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = lambda k: F.concat(F.lit("f"), (F.col("p_size") + k).cast("string"), F.lit(".c"))
+    asked = part.select(cache.cache_key(name(0), F.col("p_partkey"), F.col("p_size")).alias("cache_key"), F.col("p_partkey").alias("result"), F.array(name(0), name(1)).alias("evidence_files"))
+    sizes = spark.range(60).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".c")).alias("file_path"), "id")
+    content = lambda changed: F.concat(F.lit("v"), F.col("id").cast("string"), changed).cast("binary")
+    then = cache.file_hashes(sizes.select("file_path", content(F.lit("")).alias("content")))
+    now = cache.file_hashes(sizes.filter("id <= 45").select("file_path", content(F.when(F.col("id") % 7 == 0, "!").otherwise("")).alias("content")))
+    return cache.fresh(cache.entries(asked, then), asked.drop("result"), now).select(F.col("result").alias("part"), "cache_key")
+
+
+# Front ends, on sources that are made from the tables: a file for each part or supplier
+
+_SOURCES = {
+    "typescript": (
+        """import { Base } from "./base"
+import * as lib from "lib"
+/** Part {x}. */
+export class P{x} extends Base implements Named {
+  size: Map<string, Base[]>
+  note?: Named | null
+  get(b: Base) { lib.fmt(this.size); this.note = b.make(); helper() }
+}
+interface Named { id: number }
+enum Kind { A, B = 2 }
+type Pair = Base | Named
+function helper() { return new P{x}() }
+const go = async () => { await helper(); JSON.parse("{}") }
+""",
+        """contains|M|M#P{x}|1|||4
+contains|M#P{x}|M#P{x}.size|1|||5
+contains|M#P{x}|M#P{x}.note|1|||6
+contains|M#P{x}|M#P{x}.get|1|||7
+contains|M|M#Named|1|||9
+contains|M#Named|M#Named.id|1|||9
+contains|M|M#Kind|1|||10
+contains|M#Kind|M#Kind.A|1|||10
+contains|M#Kind|M#Kind.B|1|||10
+contains|M|M#Pair|1|||11
+contains|M|M#helper|1|||12
+contains|M|M#go|1|||13
+imports|M|module:parts/base.ts|1|||1
+imports|M|module:lib|1|||2
+extends|M#P{x}|module:parts/base.ts#Base|1|named-import||4
+implements|M#P{x}|M#Named|1|local||4
+references_type|M#P{x}|module:parts/base.ts#Base|0.95|named-import||5
+references_type|M#P{x}|M#Named|0.95|local||6
+references_type|M#P{x}.get|module:parts/base.ts#Base|0.95|named-import||7
+references_type|M#Pair|module:parts/base.ts#Base|0.95|named-import||11
+references_type|M#Pair|M#Named|0.95|local||11
+field_of_type|M#P{x}.size|module:parts/base.ts#Base|0.95|named-import|map.array|5
+field_of_type|M#P{x}.note|M#Named|0.95|local|optional|6
+aggregates|M#P{x}|module:parts/base.ts#Base|0.95|||4
+aggregates|M#P{x}|M#Named|0.95|||4
+calls|M#P{x}.get|module:lib#fmt|0.95|namespace-member||7
+calls|M#P{x}.get|module:parts/base.ts#Base.make|0.95|param-member||7
+calls|M#P{x}.get|M#helper|0.95|local||7
+calls|M#helper|M#P{x}|0.95|constructor||12
+calls|M#go|M#helper|0.95|local||13
+calls|M#go|JSON.parse|0.7|member||13
+reads_field|M#P{x}.get|M#P{x}.size|0.95|||7
+writes_field|M#P{x}.get|M#P{x}.note|0.95|||7""",
+        "parts/P{x}.ts", ("parts/base.ts", "export class Base {}"), TYPESCRIPT,
+    ),
+    "rust": (
+        """use std::collections::HashMap;
+use crate::base::Base;
+pub struct P{x} { pub all: Vec<Base>, by: HashMap<String, Box<Kind>> }
+enum Kind { Unit, Of(Base) }
+trait Named { fn id(&self) -> Kind; }
+impl Named for P{x} { fn id(&self) -> Kind { self.all.len(); self.by = Base::new(); helper(self.all) } }
+fn helper(b: Base) -> Kind { crate::base::make(b); crate::gone::make(b); Kind::Of(b) }
+""",
+        """contains|M|M#P{x}|1|||3
+contains|M#P{x}|M#P{x}.all|1|||3
+contains|M#P{x}|M#P{x}.by|1|||3
+contains|M|M#Kind|1|||4
+contains|M#Kind|M#Kind.Unit|1|||4
+contains|M#Kind|M#Kind.Of|1|||4
+contains|M|M#Named|1|||5
+contains|M|M#id|1|||5
+contains|M#P{x}|M#P{x}.id|1|||6
+contains|M|M#helper|1|||7
+imports|M|module:std::collections#HashMap|1|||1
+imports|M|module:crate::base#Base|1|||2
+implements|M#P{x}|M#Named|1|||6
+references_type|M#P{x}|module:src/base.rs#Base|0.95|named-import||3
+references_type|M#P{x}|module:std::collections#HashMap|0.95|named-import||3
+references_type|M#P{x}|M#Kind|0.95|local||3
+references_type|M#Kind|module:src/base.rs#Base|0.95|named-import||4
+references_type|M#Named|M#Kind|0.95|local||5
+references_type|M#id|M#Kind|0.95|local||5
+references_type|M#P{x}.id|M#Kind|0.95|local||6
+references_type|M#helper|module:src/base.rs#Base|0.95|named-import||7
+references_type|M#helper|M#Kind|0.95|local||7
+field_of_type|M#P{x}.all|module:src/base.rs#Base|0.95|named-import|vec|3
+field_of_type|M#P{x}.by|M#Kind|0.95|local|map.box|3
+field_of_type|M#Kind.Of|module:src/base.rs#Base|0.95|named-import|direct|4
+aggregates|M#P{x}|module:src/base.rs#Base|0.95|||3
+aggregates|M#P{x}|M#Kind|0.95|||3
+aggregates|M#Kind|module:src/base.rs#Base|0.95|||4
+calls|M#P{x}.id|len|0.7|member||6
+calls|M#impl_Named.id|len|0.7|member||6
+calls|M#P{x}.id|module:src/base.rs#Base.new|0.95|scoped-named||6
+calls|M#impl_Named.id|module:src/base.rs#Base.new|0.95|scoped-named||6
+calls|M#P{x}.id|M#helper|0.95|local||6
+calls|M#impl_Named.id|M#helper|0.95|local||6
+calls|M#helper|module:src/base.rs#make|0.95|scoped-crate||7
+calls|M#helper|crate::gone::make|0.7|scoped-bare||7
+calls|M#helper|M#Kind.Of|0.95|scoped-local||7
+reads_field|M#P{x}.id|M#P{x}.all|0.95|||6
+writes_field|M#P{x}.id|M#P{x}.by|0.95|||6""",
+        "src/p{x}.rs", ("src/base.rs", "pub struct Base;"), RUST,
+    ),
+    "c": (
+        """#include <linux/irq.h>
+#include "base.h"
+struct p{x} { int n; struct base *b; };
+static int read{x}(struct p{x} *p, base_t *t) { p->n = 1; if (p->b) pr_err("NET: bad"); return common(p, 2); }
+int open{x}(struct p{x} *p)
+{
+    struct ops *o = 0;
+    request_irq(5, read{x}, 0, "x", p);
+    o->read = read{x};
+    return unknown(p);
+}
+static const struct file_operations fops{x} = { .open = open{x}, .close = unknown };
+""",
+        """contains|F|p{x}|1|||3
+contains|F|read{x}|1|||4
+contains|F|open{x}|1|||5
+imports|F|linux/irq.h|1|||1
+imports|F|base.h|1|||2
+field_of_type|p{x}.b|base|0.85||direct|3
+aggregates|p{x}|base|0.85|||3
+references_type|read{x}|p{x}|0.85|||4
+references_type|read{x}|base_t|0.85|||4
+references_type|open{x}|p{x}|0.85|||5
+writes_field|read{x}|p.n|0.85|||4
+reads_field|read{x}|p.b|0.85|||4
+logs_event|read{x}|log:pr_err:4|0.9|||4
+calls|read{x}|common|1|||4
+writes_field|open{x}|o.read|0.85|||9
+registers_callback|request_irq|read{x}|0.9|||8
+registers_callback|o.read|read{x}|0.9|||9
+registers_callback|fops{x}|open{x}|0.9|||12""",
+        "drivers/p{x}.c", ("include/base.h", "struct base { int a; };\ntypedef struct { int a; } base_t;\nint common(struct base *b, int n) { return 0; }"), C,
+    ),
+}
+
+
+def _extracted(language: str):
+    text, _, path, extra, producer = _SOURCES[language]
+
+    def run(spark, sf_dir):
+        made = lambda t: F.replace(F.lit(t), F.lit("{x}"), F.col("p_partkey").cast("string"))
+        files = spark.read.parquet(f"{sf_dir}/part.parquet").select(made(path).alias("file_path"), made(text).alias("text"))
+        files = files.unionByName(spark.createDataFrame([extra], "file_path string, text string"))
+        found = producer.facts(spark, files).filter(F.col("kind") == "edge").filter(F.col("site_file") != extra[0])
+        return found.select("edge_kind", "src_symbol", "dst_symbol", "confidence", "resolution_kind", F.get_json_object("tags", "$.containment").alias("containment"), F.col("site_line").alias("line"))
+
+    return run
+
+
+def _extracted_sql(language: str) -> str:
+    _, edges, path, _, _ = _SOURCES[language]
+    rows = ", ".join("(" + ", ".join(_q(x) if x else "NULL" for x in line.split("|")) + ")" for line in edges.splitlines())
+    named = lambda c: f"replace(CASE WHEN {c} = 'F' THEN {_q(path)} WHEN {c} = 'M' OR starts_with({c}, 'M#') THEN {_q('module:' + path)} || substr({c}, 2) ELSE {c} END, '{{x}}', p_partkey::VARCHAR)"
+    return f"SELECT k AS edge_kind, {named('s')} AS src_symbol, {named('d')} AS dst_symbol, c::DOUBLE AS confidence, h AS resolution_kind, t AS containment, l::BIGINT AS line FROM part, (VALUES {rows}) e(k, s, d, c, h, t, l)"
+
+
+for _language in _SOURCES:
+    _query(f"extract_{_language}", _extracted_sql(_language))(_extracted(_language))
+
+
+@_query("extract_symbols", """SELECT symbol_kind, replace(replace(n, 'M', 'module:parts/P' || p_partkey || '.ts'), '{x}', p_partkey::VARCHAR) AS name, l::BIGINT AS line, e::BIGINT AS end_line, x AS exported, replace(d, '{x}', p_partkey::VARCHAR) AS doc
+FROM part, (VALUES ('module', 'M', 1, 14, NULL, NULL), ('class', 'M#P{x}', 4, 8, true, '/** Part {x}. */'), ('field', 'M#P{x}.size', 5, NULL, NULL, NULL), ('field', 'M#P{x}.note', 6, NULL, NULL, NULL), ('method', 'M#P{x}.get', 7, 7, NULL, NULL),
+  ('interface', 'M#Named', 9, 9, NULL, NULL), ('field', 'M#Named.id', 9, NULL, NULL, NULL), ('enum', 'M#Kind', 10, 10, NULL, NULL), ('enum_variant', 'M#Kind.A', 10, NULL, NULL, NULL), ('enum_variant', 'M#Kind.B', 10, NULL, NULL, NULL),
+  ('typedef', 'M#Pair', 11, 11, NULL, NULL), ('function', 'M#helper', 12, 12, NULL, NULL), ('function', 'M#go', 13, 13, NULL, NULL)) s(symbol_kind, n, l, e, x, d)""")
+def extract_symbols(spark, sf_dir):
+    text, _, path, _, producer = _SOURCES["typescript"]
+    made = lambda t: F.replace(F.lit(t), F.lit("{x}"), F.col("p_partkey").cast("string"))
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(made(path).alias("file_path"), made(text).alias("text"))
+    return producer.facts(spark, files).filter("kind = 'symbol'").select("symbol_kind", "name", "line", "end_line", "exported", "doc")

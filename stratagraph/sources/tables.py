@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._stratagraph_tables
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import the package: Spark's file server hands them an archive of it, once for a context."""
+    context = spark.sparkContext
+    if getattr(context, "_stratagraph_core_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="strata-package-")) / f"{top.name}_core.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(top.rglob("*.py")):
+            archive.write(source, str(source.relative_to(top.parent)))
+    context.addPyFile(str(path))
+    context._stratagraph_core_shipped = True
+
+
 def made(spark: SparkSession) -> list[str]:
     """The folders of the session's intermediate tables, in the order in which they came."""
     return spark.sparkContext.__dict__.setdefault("_stratagraph_made", [])

@@ -213,3 +213,16 @@ def test_odd_sources(source):
 def test_brackets_have_partners():
     t = lexer.script("f(`a${g({b: 1})}c`, [1])", False)
     assert all(t.match[t.match[k]] == k for k in t.match) and t.text.count("`") == 1 and len(t.match) == 10
+
+
+def test_cached_answers_hold_while_their_files_do(spark):
+    from pyspark.sql import functions as F
+
+    from stratagraph.operators import cache
+
+    hashes = lambda rows: spark.createDataFrame(rows, "file_path string, hash string")
+    asked = spark.createDataFrame([("k1", "r1", ["a", "b"]), ("k2", "r2", ["b"]), ("k3", "r3", []), ("k4", "r4", ["gone"])], "cache_key string, result string, evidence_files array<string>")
+    held = cache.entries(asked, hashes([("a", "1"), ("b", "2")]))
+    fresh = lambda now: sorted(r.result for r in cache.fresh(held, asked.drop("result"), hashes(now)).collect())
+    assert fresh([("a", "1"), ("b", "2")]) == ["r1", "r2", "r3"] and fresh([("a", "9"), ("b", "2")]) == ["r2", "r3"] and fresh([("a", "1")]) == ["r3"]
+    assert cache.fresh(held.withColumn("schema_version", F.lit(0)), asked, hashes([("a", "1"), ("b", "2")])).count() == 0
