@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.operators.hops import LIMIT
 from stratagraph.plans.graph import Graph, first_resolved
-from stratagraph.sources.tables import settle
+from stratagraph.sources.tables import held
 
 MAX_PATHS = 1_000_000
 
@@ -27,7 +27,7 @@ def clamp(depth: int | None, default: int, low: int, high: int) -> int:
 
 def name_edges(g: Graph, *kinds: str) -> DataFrame:
     """Distinct edges between names, written once; each hop reads them."""
-    return settle(g.of(*kinds).select("src", "dst").distinct())
+    return held(g.of(*kinds).select("src", "dst").distinct())
 
 
 def shortest_path(g: Graph, src: str, dst: str, kinds: tuple[str, ...], depth: int, label: str, kind: str | None = None) -> DataFrame:
@@ -35,18 +35,18 @@ def shortest_path(g: Graph, src: str, dst: str, kinds: tuple[str, ...], depth: i
     edges = name_edges(g, *kinds)
     target = first_resolved(g.nodes, dst).first()["name"]
     frontier = first_resolved(g.nodes, src).select("name", F.array("name").alias("path"))
-    seen = settle(frontier.select("name"))
-    frontier, hit = settle(frontier), None
+    seen = held(frontier.select("name"))
+    frontier, hit = held(frontier), None
     for _ in range(depth):
         step = frontier.join(edges, frontier["name"] == edges["src"]).groupBy("dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")).select(F.col("dst").alias("name"), "path")
-        frontier = settle(step.join(seen, "name", "left_anti"))
+        frontier = held(step.join(seen, "name", "left_anti"))
         found = frontier.filter(F.col("name") == target)
         if not found.isEmpty():
             hit = found
             break
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier.select("name")))
+        seen = held(seen.unionByName(frontier.select("name")))
     if hit is None:
         hit = frontier.filter(F.lit(False))
     hops = hit.select(F.size("path").alias("n"), "path", F.posexplode("path").alias("i", "caller")).filter("i < n - 1")
@@ -59,28 +59,28 @@ def shortest_path(g: Graph, src: str, dst: str, kinds: tuple[str, ...], depth: i
 def transitive(g: Graph, root: str, kinds: tuple[str, ...], depth: int, limit: int = LIMIT) -> DataFrame:
     """Everything reachable from the root, without it, with its least depth."""
     edges = name_edges(g, *kinds)
-    frontier = settle(first_resolved(g.nodes, root).select("name", F.lit(0).alias("depth")))
+    frontier = held(first_resolved(g.nodes, root).select("name", F.lit(0).alias("depth")))
     seen = frontier
     for d in range(1, depth + 1):
         step = frontier.join(edges, frontier["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti")
-        frontier = settle(step.withColumn("depth", F.lit(d)))
+        frontier = held(step.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier))
+        seen = held(seen.unionByName(frontier))
     return seen.filter("depth > 0").select(F.lit("module").alias("kind"), F.col("name").alias("canonical_name"), F.col("depth").cast("long").alias("depth")).orderBy("depth", "canonical_name").limit(limit)
 
 
 def simple_paths(g: Graph, root: str, kinds: tuple[str, ...], depth: int, max_paths: int = MAX_PATHS, closing: bool = False) -> DataFrame:
     """All simple paths from the root of up to `depth` hops (path); with `closing` those that then return to it."""
     edges = name_edges(g, *kinds)
-    frontier = settle(first_resolved(g.nodes, root).select(F.array("name").alias("path")))
+    frontier = held(first_resolved(g.nodes, root).select(F.array("name").alias("path")))
     out, total = [frontier], 1
     closed = []
     for d in range(depth):
         step = frontier.join(edges, F.element_at("path", -1) == edges["src"])
         if closing and d:
             closed.append(step.filter(F.col("dst") == F.col("path")[0]).select(F.concat("path", F.array("dst")).alias("path")))
-        frontier = settle(step.filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+        frontier = held(step.filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
         n = frontier.count()
         total += n
         if total > max_paths:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.plans.graph import Graph
-from stratagraph.sources.tables import settle, settled_small
+from stratagraph.sources.tables import held, settle, settled_small
 
 NODE = ("id", "kind", "file_path", "line", "end_line", "line_count", "exported", "doc", "owning_class")
 EDGE = ("src", "dst", "kind", "resolution_kind")
@@ -57,14 +57,14 @@ def distances(edges: DataFrame, root: str, hops: int, direction: str = "both") -
     """(id, dist) of what is within `hops` of the root, by breadth-first levels."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    steps = settle({"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct())
-    seen = frontier = settle(edges.sparkSession.createDataFrame([(root, 0)], "id string, dist int"))
+    steps = held({"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct())
+    seen = frontier = held(edges.sparkSession.createDataFrame([(root, 0)], "id string, dist int"))
     for d in range(1, hops + 1):
         step = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = settle(step.join(seen, "id", "left_anti").withColumn("dist", F.lit(d)))
+        frontier = held(step.join(seen, "id", "left_anti").withColumn("dist", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier))
+        seen = held(seen.unionByName(frontier))
     return seen
 
 

@@ -57,6 +57,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may pass through the driver on its way to the next hop of an iteration.
+HELD_ROWS = 10_000
+
+
+def held(df: DataFrame, rows: int = HELD_ROWS) -> DataFrame:
+    """The rows without their lineage: of at most so many narrow rows as a local table, or else settled."""
+    some = df.limit(rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(some, df.schema) if some.num_rows <= rows else settle(df)
+
+
 def settled_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A settled table with a broadcast hint if a count shows it to be small; else it joins by shuffling."""
     out = settle(df)
