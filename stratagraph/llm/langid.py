@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -316,9 +317,12 @@ def _known(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, lang_pred and score of every whole text; one pass, no shuffle. The id may be a struct of a whole row."""
+    """id, lang_pred and score of every whole text; one pass, no shuffle. The id may be a struct of a whole row, and the text a string in it, `row.text`."""
     ship(docs)
     slim = docs.select(F.col(id_col), F.col(text).cast("string").alias("__t"))
+    own = text.removeprefix(f"{id_col}.") if text.startswith(f"{id_col}.") and isinstance(docs.select(text).schema[0].dataType, T.StringType) else None
+    if own and model is not None:  # texts go to the workers once
+        slim = slim.select(id_col)
     if model is None:
         return slim.select(id_col, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = T.StructType([slim.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -341,7 +345,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text:
                 score.append(np.where(known, np.minimum(shares[np.arange(len(best)), best].round(6), 1.0), 0.0))
                 group.clear()
 
-            for _, raw, offsets in text_batches(batch, "__t", GROUP_BYTES // 4):
+            texts = pa.RecordBatch.from_arrays([pc.struct_field(batch.column(0), own)], ["__t"]) if own else batch
+            for _, raw, offsets in text_batches(texts, "__t", GROUP_BYTES // 4):
                 group.append((raw, offsets))
                 if sum(len(r) for r, _ in group) >= GROUP_BYTES:
                     flush()
