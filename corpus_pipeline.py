@@ -53,8 +53,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; repeated rows and ids are judged row by row; long texts count whole; a share of
     exactly one half stays; an empty table gives an empty one; any further columns, whatever their names, are carried.
     """
-    whole = docs.select(F.struct("*").alias("row"), "text")
-    found = langid.predict(whole, langid.fit(docs), id_col="row")
+    found = langid.predict(docs.select(F.struct("*").alias("row")), langid.fit(docs), id_col="row", text="row.text")
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
