@@ -8,7 +8,8 @@ epochs first. The rest goes to a weighted sample without replacement: each docum
 exponential key, -ln(u) / weight, from a hash of its id and text, and the source's documents are taken
 in order of their keys up to the budget, the last one only if that comes closer to it.
 
-Prefix sums over a source are found in two levels, so that no task gets a whole source: keys fall
+Budgets are found by windows over one row for each source, in one task: sources are names of crawls
+or sites' groups, thousands at most, not documents. Prefix sums over a source are found in two levels, so that no task gets a whole source: keys fall
 into buckets of a few thousand documents, bucket totals are summed up first, and then the rows
 inside each bucket.
 

@@ -21,11 +21,13 @@ BATCH_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; only a session without one gets its own."""
+    """The folder that the session names in spark.checkpoint.dir; only a local session without one gets its own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     context = spark.sparkContext
     if not hasattr(context, "_stratagraph_folder"):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context._stratagraph_folder = "file://" + tempfile.mkdtemp(prefix="strata-shared-")
     return context._stratagraph_folder
 
