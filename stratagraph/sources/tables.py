@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only a session without one gets its own."""
+    """The folder named in spark.checkpoint.dir; only a local session without one gets its own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
     context = spark.sparkContext
     if not hasattr(context, "_stratagraph_tables"):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context._stratagraph_tables = "file://" + tempfile.mkdtemp(prefix="strata-tables-")
     return context._stratagraph_tables
 
