@@ -304,7 +304,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     draw = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(F.col("t").isNotNull() & (draw < F.coalesce(share[F.col("l")], F.lit(0.0)))).distinct().toPandas()
     sample = sample.sort_values(["l", "i", "t"])
-    return train(sample["t"].tolist(), sample["l"].tolist()) if len(sample) else None
+    model = train(sample["t"].tolist(), sample["l"].tolist()) if len(sample) else None
+    del sample
+    tidy()
+    return model
 
 
 def _known(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

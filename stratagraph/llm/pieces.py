@@ -43,7 +43,7 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 RANK_OFFSET, ALPHA, SEED = 100.0, 0.5, 20
 #: Bytes of text that are encoded together; a longer text is done alone. Characters of chunks whose lattices a worker keeps.
-BATCH_BYTES, BOOK_CHARS = 1 << 19, 1 << 20
+BATCH_BYTES, BOOK_CHARS = 1 << 19, 1 << 19
 
 
 def model_path(path: str | None = None) -> str:
@@ -353,6 +353,13 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     return slim.mapInArrow(run, _schema(slim, own) + ", n_chars long, ids array<int>")
 
 
+def _spelled(table: pa.Array, col: pa.Array) -> pa.Array:
+    """The texts that lists of ids spell."""
+    flat = pc.take(table, pc.list_flatten(col))
+    bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat), b"").cast(pa.string())
+
+
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, `carry` columns, ids and the text they spell."""
     ship(encoded)
@@ -364,10 +371,26 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", pat
         for batch in batches:
             for b in _slices(batch):
                 col = b.column(own)
-                flat = pc.take(table, pc.list_flatten(col))
-                bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*b.columns[:own], col, pc.binary_join(lists, b"").cast(pa.string())], [id_col, *carry, ids, "text"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:own], col, _spelled(table, col)], [id_col, *carry, ids, "text"])
             tidy()
 
     return slim.mapInArrow(run, _schema(slim, own) + f", `{ids}` array<int>, text string")
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, alpha: float = ALPHA, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """decode_ids() of encode_texts(), by one worker: id, `carry` columns, ids, and the text that they spell."""
+    ship(docs)
+    slim = docs.select(F.col(id_col), *carry, F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+    own = 1 + len(carry)
+
+    def run(batches):
+        vocab = vocabulary(path)
+        table = pa.array(vocab.strings, pa.binary())
+        for batch in batches:
+            for b in _slices(batch):
+                ids, bounds = encode(vocab, b.column(own).to_pylist(), b.column(own + 1).to_pylist(), alpha, seed)
+                col = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:own], col, _spelled(table, col)], [id_col, *carry, "ids", "text"])
+            tidy()
+
+    return slim.mapInArrow(run, _schema(slim, own) + ", ids array<int>, text string")

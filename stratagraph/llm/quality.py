@@ -33,7 +33,7 @@ from stratagraph.llm.outliers import text_counts
 from stratagraph.llm.runtime import cut, ship, small_side, text_batches, tidy
 
 #: The bound of the labelled sample that the classifier is fitted on.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 8_000
 #: What a document without a label counts as site evidence, and the bounds of a prior's strength.
 SOFT_WEIGHT, STRENGTH = 0.25, (20.0, 2_000.0)
 #: Most log-odds that a site may add or take.
@@ -156,7 +156,10 @@ def fit(rows: DataFrame, y: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classi
     some = F.broadcast(cut(y.filter(draw < sample_rows / n).orderBy(draw, "__i").limit(sample_rows)))
     known = rows.select("id", "text").join(some, F.col("id") == F.col("__i")).select("id", F.md5("text").alias("digest"), "y", "text").dropDuplicates(["id", "digest"])
     sample = _sampled(known, sample_rows)  # an id may stand for many texts: so many of them as the sample may have
-    return train(*sample) if len(sample[-1]) else None
+    model = train(*sample) if len(sample[-1]) else None
+    del sample
+    tidy()
+    return model
 
 
 def _probabilities(rows: DataFrame, model: Classifier) -> DataFrame:

@@ -49,7 +49,7 @@ def op6_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segmented(docs: DataFrame) -> DataFrame:
     """Sampled segmentations: piece ids, their number and digest, and whether decoding gives each text back."""
     marked = docs.select("doc_id", "text", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_md5"))
-    back = pieces.decode_ids(pieces.encode_texts(marked, carry=("text_md5",)), carry=("text_md5",))
+    back = pieces.round_trip(marked, carry=("text_md5",))
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_xxhash64"), F.length("text").cast("long").alias("n_chars"), "text_md5", (F.md5("text") == F.col("text_md5")).alias("lossless"))
 
 

@@ -282,6 +282,7 @@ def test_pieces_are_lossless_and_reproducible(spark):
     rows = [(i, t, "en", "s") for i, t in enumerate([*TEXTS, None])] + [(None, "x", "en", "s"), (0, "", "en", "s")]
     back = pieces.decode_ids(pieces.encode_texts(frame(spark, rows))).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t, *_ in rows)
+    assert sorted(map(str, pieces.round_trip(frame(spark, rows)).collect())) == sorted(map(str, back))
 
 
 def test_segmentations_are_drawn_by_their_weights():
