@@ -252,3 +252,14 @@ def test_symbols_alone_need_no_table(spark, tmp_path):
     assert row_queries.QUERIES["extract_symbols"](spark, _parts(spark, tmp_path)).count() == 40 * 13 and len(made(spark)) == before
     rows = TYPESCRIPT.facts(spark, frame(spark, {"a.ts": TS}), ("symbol",))
     assert {r.kind for r in rows.collect()} == {"symbol"} and rows.dtypes == TYPESCRIPT.facts(spark, frame(spark, {"a.ts": TS})).dtypes
+
+
+def test_c_decides_what_its_own_file_defines(spark):
+    f = Facts("c")
+    c.extract("a.c", CC, f)
+    needs = {(r["edge_kind"], r["src_symbol"], r["dst_symbol"]): r["needs"] for r in f.rows if r["kind"] == "edge"}
+    assert needs["calls", "my_read", "helper"] is None and needs["references_type", "my_read", "dev"] is None and needs["references_type", "my_read", "point_t"] == "types" and needs["calls", "helper", "get"] == "functions"
+    assert {d: n for (k, s, d), n in needs.items() if k == "registers_callback" and s == "request_irq"} == {"my_read": None}
+    source = "int mine(void) { return 0; }\nint f(void) { request_irq(1, other, mine); return 0; }\n"
+    called = lambda given: {r.dst_symbol for r in C.facts(spark, frame(spark, given)).filter("edge_kind = 'registers_callback'").collect()}
+    assert called({"a.c": source}) == {"mine"} and called({"a.c": source, "b.c": "int other(void) { return 0; }"}) == {"other"}
