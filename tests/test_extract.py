@@ -263,3 +263,13 @@ def test_c_decides_what_its_own_file_defines(spark):
     source = "int mine(void) { return 0; }\nint f(void) { request_irq(1, other, mine); return 0; }\n"
     called = lambda given: {r.dst_symbol for r in C.facts(spark, frame(spark, given)).filter("edge_kind = 'registers_callback'").collect()}
     assert called({"a.c": source}) == {"mine"} and called({"a.c": source, "b.c": "int other(void) { return 0; }"}) == {"other"}
+
+
+def test_only_marked_paths_are_joined(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = RUST.facts(spark, frame(spark, {"src/m.rs": "use crate::a::Thing;\nfn f() { crate::a::go(); crate::zz::go(); Thing::new(); g(); }", "src/a.rs": ""}))
+        assert {r.dst_symbol for r in found.filter("edge_kind = 'calls'").collect()} == {"module:src/a.rs#go", "crate::zz::go", "module:src/a.rs#Thing.new", "g"}
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
