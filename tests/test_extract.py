@@ -292,3 +292,18 @@ def test_c_hands_over_only_what_is_asked_for(spark):
 def test_tokens_of_c_are_what_stands_there(source, texts, lines):
     t = lexer.c(source)
     assert t.text == texts and t.line == lines and [source[a:b] for a, b in zip(t.start, t.end)] == texts
+
+
+def test_rust_hands_over_only_what_is_asked_for(spark):
+    from stratagraph.sources.tables import made
+
+    files, asked = frame(spark, {"src/m.rs": "use crate::a::Thing;\nfn f() { crate::a::go(); crate::zz::go(); Thing::new(); g(); }", "src/a.rs": ""}), ("edge_kind", "dst_symbol", "confidence", "site_line")
+    before = len(made(spark))
+    found = RUST.facts(spark, files, ("edge",), asked)
+    assert found.columns == list(asked) and sorted(map(str, found.collect())) == sorted(map(str, RUST.facts(spark, files, ("edge",)).select(*asked).collect()))
+    assert not {"seq", "evidence", "template", "access_path", "needs"} & set(spark.read.parquet(made(spark)[before]).columns)
+
+
+def test_rust_types_without_an_end_end():
+    s, _ = read(rust, "a.rs", "struct P { all: B }\ntrait Named { fn id(&self) -> fn; }\nimpl Named for P { fn id(&self) -> Kind { self.all.len() } }\nfn helper(b: B) -> Kind { go(b) }\n")
+    assert "M#Named" in s
