@@ -30,7 +30,7 @@ def entries(answers: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def fresh(cached: DataFrame, asked: DataFrame, hashes: DataFrame) -> DataFrame:
     """cache_key and result of the questions (cache_key, evidence_files) whose entry still holds."""
-    met = asked.join(cached.filter(F.col("schema_version") == SCHEMA_VERSION), "cache_key")
+    met = asked.select("cache_key", "evidence_files").join(cached.filter(F.col("schema_version") == SCHEMA_VERSION), "cache_key")
     checked = met.select("cache_key", "result", "manifest", F.explode_outer("evidence_files").alias("file_path")).join(hashes, "file_path", "left")
     same = F.col("file_path").isNull() | F.coalesce(F.try_element_at("manifest", F.col("file_path")) == F.col("hash"), F.lit(False))
     return checked.groupBy("cache_key").agg(F.first("result").alias("result"), F.min(same).alias("ok")).filter("ok").select("cache_key", "result")
