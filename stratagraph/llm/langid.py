@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratagraph.llm import words as W
-from stratagraph.llm.runtime import ship, text_batches, tidy
+from stratagraph.llm.runtime import ship, text_batches, tidy, tidy_driver
 
 TABLE_BITS = 17
 AFFIXES = 4
@@ -303,6 +303,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
     share = F.create_map(*(x for r in sorted(counts) for x in (F.lit(r["l"]), F.lit(docs_per_lang / r["count"]))))
     draw = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(F.col("t").isNotNull() & (draw < F.coalesce(share[F.col("l")], F.lit(0.0)))).distinct().toPandas()
+    tidy_driver(docs.sparkSession)
     sample = sample.sort_values(["l", "i", "t"])
     model = train(sample["t"].tolist(), sample["l"].tolist()) if len(sample) else None
     del sample

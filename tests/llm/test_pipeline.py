@@ -86,3 +86,27 @@ def test_language_and_quality_judge_rows_and_not_ids(spark):
 
     labels, sites = spark.read.parquet(f"{DATA}/labels.parquet"), quality.page_sites(spark.read.parquet(f"{DATA}/pages.parquet"))
     assert corpus_pipeline.quality_classifier(spark, docs, DATA).count() == quality.classify(docs, labels, sites).filter("kept").count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/proc/self"), reason="no /proc")
+def test_written_tables_give_freed_memory_of_the_driver_back(spark):
+    """Pieces freed outside the JVM's heap, below one that is still in use, which the allocator keeps by itself."""
+    import gc
+    import time
+
+    from stratagraph.llm.runtime import cut
+
+    jvm = spark._jvm
+    used = lambda: int(open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+    rows = lambda: sorted(r.id for r in cut(spark.range(3)).collect())
+    assert rows() == rows() == [0, 1, 2]  # so that classes are loaded
+    held = [jvm.java.nio.ByteBuffer.allocateDirect(64 << 10) for _ in range(1500)]
+    last = jvm.java.nio.ByteBuffer.allocateDirect(64 << 10)
+    del held
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    before = used()
+    assert rows() == [0, 1, 2]
+    assert used() < before - 50 and last.capacity() == 64 << 10
